@@ -21,7 +21,7 @@ REPORT_TYPES = {
 BASES = {"CFS": ("CFS", "연결"), "OFS": ("OFS", "별도", "개별")}
 
 #: White space in the sense of every comparison here, Unicode included.
-SPACE = r"(?U)[\s ​　﻿]+"
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
 def one_of(value: Column, spellings: dict[str, tuple[str, ...]]) -> Column:
