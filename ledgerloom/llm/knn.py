@@ -9,10 +9,14 @@ are merged and reranked by exact cosine in double precision.
 
 Scale:
 
-* Exact copies are one *class*, found by a hash of the vector's bytes with
-  map-side combining, so a vector that makes up a third of all rows is hashed
-  and compared once; its members come back at the end, at most ``k`` pairs each.
-* One shuffle by bucket carries 17 bytes a row, never vectors.
+* Exact copies are one *class*, named by its smallest id and found by a hash of
+  the vector's bytes with map-side combining, so a vector that makes up a third
+  of all rows is hashed and compared once; its members come back at the end, at
+  most ``k`` pairs each.
+* Vectors are shuffled once, by id.  The shuffle by bucket carries a bucket, an
+  id and a flag; candidates are thinned by the Hamming distance of 128-bit sign
+  sketches (a true neighbour stays with more than four standard deviations to
+  spare) before the few that are left meet their vectors.
 * A bucket with more than ``bucket_rows`` classes is compared in blocks instead
   of pair by pair: its classes are split into blocks, every pair of blocks is
   one matrix product, and only the ``k`` best of each row leave it.  No bucket
@@ -46,17 +50,19 @@ class Hashing:
     """Parameters of the index; the defaults are the production settings for cosine of 0.93 and more."""
 
     dim: int = 64
-    tables: int = 6
-    functions: int = 22
-    width: float = 2.0
-    probes: int = 6
+    tables: int = 5
+    functions: int = 25
+    width: float = 2.4
+    probes: int = 8
     seed: int = 20240117
     bucket_rows: int = 512
     block_rows: int = 4096
+    #: Differing sketch bits (of 128) up to which a candidate is compared exactly; 128 keeps all.
+    sketch_bits: int = 34
 
 
 #: For neighbours at any distance: coarse cells, many probes.
-ANY_DISTANCE = Hashing(tables=8, functions=8, width=2.4, probes=24)
+ANY_DISTANCE = Hashing(tables=8, functions=8, width=2.4, probes=24, sketch_bits=128)
 
 
 def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -127,17 +133,42 @@ def usable_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, dim: int) -> DataFrame:
-    """(id, class, vec) of every usable row: class is a hash of the vector's bytes, vec those bytes."""
+    """(id, hash, vec) of every usable record: hash of the vector's bytes, vec those bytes, one row per id."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = usable_rows(batch.column(1), dim)
             raw = [r.tobytes() for r in rows]
-            classes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(raw, pa.binary())], ["id", "class", "vec"])
+            hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(pa.int64()), pa.array(hashes, pa.int64()), pa.array(raw, pa.binary())], ["id", "hash", "vec"])
 
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<float>").alias("v"))
-    return rows.filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(scan, "id bigint, class bigint, vec binary")
+    scanned = rows.filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(scan, "id bigint, hash bigint, vec binary")
+    return scanned.groupBy("id").agg(F.min(F.struct("hash", "vec")).alias("r")).select("id", "r.hash", "r.vec")
+
+
+def sketches(classes: DataFrame, h: Hashing) -> DataFrame:
+    """(class, s0, s1): the signs of 128 random projections."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = np.random.default_rng(h.seed + 1).normal(size=(h.dim, 128))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.packbits(matrix(batch.column(1), h.dim) @ directions > 0, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], ["class", "s0", "s1"])
+
+    return classes.select("class", "vec").mapInArrow(scan, "class bigint, s0 bigint, s1 bigint")
+
+
+def thinned(pairs: DataFrame, classes: DataFrame, h: Hashing) -> DataFrame:
+    """The pairs whose sketches differ in at most ``sketch_bits`` bits."""
+    if h.sketch_bits >= 128:
+        return pairs
+    s = sketches(classes, h)
+    both = pairs.join(s.select(F.col("class").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1")), "a").join(s.select(F.col("class").alias("b"), "s0", "s1"), "b")
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("s1")))
+    return both.filter(differ <= h.sketch_bits).select("a", "b")
 
 
 def bucket_rows(classes: DataFrame, h: Hashing, queries: DataFrame | None = None) -> DataFrame:
@@ -218,9 +249,9 @@ def blocked_pairs(rows: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashin
     return filed.select("key", "i", "class", "vec", "j", "home").unionByName(asking).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint, cosine double")
 
 
-def distinct_classes(rows: DataFrame) -> DataFrame:
-    """(class, vec), one row per distinct vector; copies are combined before the shuffle."""
-    return rows.groupBy("class").agg(F.first("vec").alias("vec"))
+def class_names(rows: DataFrame) -> DataFrame:
+    """(hash, class): the smallest id of every distinct vector; copies are combined before the shuffle."""
+    return rows.groupBy("hash").agg(F.min("id").alias("class"))
 
 
 def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
@@ -234,7 +265,7 @@ def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> Da
     met = asked.join(filed.join(small, "key"), "key").filter("a <> b")
     if "asks" not in classes.columns:
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one_way = exact_cosine(pairs, classes, h.dim).filter(F.col("cosine") >= floor)
+        one_way = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor)
         two_way = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     else:
         two_way = exact_cosine(met.distinct(), classes, h.dim).filter(F.col("cosine") >= floor)
@@ -252,8 +283,9 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     neighbours of at least ``floor`` are ranks among all.
     """
     rows = usable(vectors, id_column, vector_column, h.dim)
-    classes = distinct_classes(rows)
-    members = rows.groupBy("id").agg(F.min("class").alias("class"))
+    names = class_names(rows)
+    classes = rows.join(names.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "vec")
+    members = rows.select("id", "hash").join(names, "hash").select("id", "class")
     # a class enters a neighbour list with at most its k + 1 smallest ids
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("r") <= k + 1)
     near = class_neighbours(classes, h, k, floor).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
