@@ -144,6 +144,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str, dim: int) ->
 
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<float>").alias("v"))
     scanned = rows.filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(scan, "id bigint, hash bigint, vec binary")
+    # stated here because joins on id infer it, and the exchange is only shared by equal plans
+    scanned = scanned.filter("id IS NOT NULL")
     return scanned.groupBy("id").agg(F.min(F.struct("hash", "vec")).alias("r")).select("id", "r.hash", "r.vec")
 
 
@@ -223,8 +225,8 @@ def blocked_pairs(rows: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashin
     inside = rows.join(hot, "key").join(classes.select("class", "vec"), "class")
     own = F.pmod(F.xxhash64("class", F.lit(h.seed)), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    filed = inside.filter("home").select("key", own.alias("i"), "class", "vec", every.alias("j"), F.lit(True).alias("home"))
-    asking = inside.filter("NOT home").select("key", own.alias("j"), "class", "vec", every.alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
+    filed = inside.filter("CASE WHEN rand() >= 0 THEN home END").select("key", own.alias("i"), "class", "vec", every.alias("j"), F.lit(True).alias("home"))
+    asking = inside.filter("CASE WHEN rand() >= 0 THEN NOT home END").select("key", own.alias("j"), "class", "vec", every.alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +259,10 @@ def class_names(rows: DataFrame) -> DataFrame:
 def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
     """Directed neighbours (a, b, cosine) among classes, each with at least ``floor``; ``asks`` limits a."""
     rows = bucket_rows(classes, h).repartition("key")
-    filed = rows.filter("home").select("key", F.col("class").alias("b"))
-    asked = rows.filter("NOT home").select("key", F.col("class").alias("a"))
-    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # rand() keeps the optimizer from pushing these filters below the exchange, which would split it into one per use
+    filed = rows.filter("CASE WHEN rand() >= 0 THEN home END").select("key", F.col("class").alias("b"))
+    asked = rows.filter("CASE WHEN rand() >= 0 THEN NOT home END").select("key", F.col("class").alias("a"))
+    sizes = filed.groupBy("key").agg(F.count("b").alias("n"))
     small = sizes.filter(F.col("n") <= h.bucket_rows).select("key")
     hot = sizes.filter(F.col("n") > h.bucket_rows)
     met = asked.join(filed.join(small, "key"), "key").filter("a <> b")
