@@ -53,7 +53,7 @@ class Hashing:
     tables: int = 5
     functions: int = 25
     width: float = 2.4
-    probes: int = 8
+    probes: int = 7
     seed: int = 20240117
     bucket_rows: int = 512
     block_rows: int = 4096
@@ -173,8 +173,8 @@ def thinned(pairs: DataFrame, classes: DataFrame, h: Hashing) -> DataFrame:
     return both.filter(differ <= h.sketch_bits).select("a", "b")
 
 
-def bucket_rows(classes: DataFrame, h: Hashing, queries: DataFrame | None = None) -> DataFrame:
-    """(key, class, home): the home row and the probe rows of every class in every table."""
+def bucket_rows(classes: DataFrame, h: Hashing, home: bool) -> DataFrame:
+    """(key, class): the home bucket of every class in every table, or its probe buckets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,19 +183,14 @@ def bucket_rows(classes: DataFrame, h: Hashing, queries: DataFrame | None = None
             unit = matrix(batch.column(1), h.dim)
             unit /= np.linalg.norm(unit, axis=1)[:, None]
             ids = batch.column(0).to_numpy()
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            files = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            for home, probes in bucket_keys(unit, h):
-                every = np.concatenate([home[asks][:, None], probes[asks]], axis=1)
-                key = np.concatenate([home[files], every.ravel()])
-                owner = np.concatenate([ids[files], np.repeat(ids[asks], every.shape[1])])
-                is_home = np.zeros(len(key), dtype=bool)
-                is_home[: files.sum()] = True
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(is_home)], ["key", "class", "home"])
+            for own, probes in bucket_keys(unit, h):
+                if home:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids)], ["key", "class"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(probes.ravel()), pa.array(np.repeat(ids, probes.shape[1]))], ["key", "class"])
 
-    flags = classes.columns
-    asks = F.col("asks") if "asks" in flags else F.lit(True)
-    return classes.select("class", "vec", asks.alias("asks"), F.lit(True).alias("files")).mapInArrow(scan, "key bigint, class bigint, home boolean")
+    # stated here because the joins infer it, and an exchange is only shared by equal plans
+    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint").filter("key IS NOT NULL AND class IS NOT NULL").repartition("key")
 
 
 def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
@@ -215,18 +210,19 @@ def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
     return both.mapInArrow(scan, "a bigint, b bigint, cosine double")
 
 
-def blocked_pairs(rows: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
+def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
     """Pairs (a, b, cosine) inside hot buckets: per row of a block pair the ``k`` best of at least ``floor``.
 
     A bucket of n classes is cut into b = ceil(n / block_rows) blocks on either
     side, b * b independent tasks of bounded size.
     """
     blocks = F.ceil(F.col("n") / h.block_rows).cast("int")
-    inside = rows.join(hot, "key").join(classes.select("class", "vec"), "class")
     own = F.pmod(F.xxhash64("class", F.lit(h.seed)), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    filed = inside.filter("CASE WHEN rand() >= 0 THEN home END").select("key", own.alias("i"), "class", "vec", every.alias("j"), F.lit(True).alias("home"))
-    asking = inside.filter("CASE WHEN rand() >= 0 THEN NOT home END").select("key", own.alias("j"), "class", "vec", every.alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
+    inside = filed.join(hot, "key").join(classes, "class")
+    outside = asked.join(hot, "key").join(classes, "class")
+    filing = inside.select("key", own.alias("i"), "class", "vec", every.alias("j"), F.lit(True).alias("home"))
+    asking = inside.unionByName(outside).select("key", own.alias("j"), "class", "vec", every.alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +244,7 @@ def blocked_pairs(rows: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashin
             found.append(pd.DataFrame({"a": a[s + row], "b": b[col], "cosine": c[row, col]}))
         return pd.concat(found)
 
-    return filed.select("key", "i", "class", "vec", "j", "home").unionByName(asking).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint, cosine double")
+    return filing.unionByName(asking).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint, cosine double")
 
 
 def class_names(rows: DataFrame) -> DataFrame:
@@ -257,24 +253,16 @@ def class_names(rows: DataFrame) -> DataFrame:
 
 
 def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
-    """Directed neighbours (a, b, cosine) among classes, each with at least ``floor``; ``asks`` limits a."""
-    rows = bucket_rows(classes, h).repartition("key")
-    # rand() keeps the optimizer from pushing these filters below the exchange, which would split it into one per use
-    filed = rows.filter("CASE WHEN rand() >= 0 THEN home END").select("key", F.col("class").alias("b"))
-    asked = rows.filter("CASE WHEN rand() >= 0 THEN NOT home END").select("key", F.col("class").alias("a"))
-    sizes = filed.groupBy("key").agg(F.count("b").alias("n"))
-    small = sizes.filter(F.col("n") <= h.bucket_rows).select("key")
-    hot = sizes.filter(F.col("n") > h.bucket_rows)
-    met = asked.join(filed.join(small, "key"), "key").filter("a <> b")
-    if "asks" not in classes.columns:
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one_way = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor)
-        two_way = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    else:
-        two_way = exact_cosine(met.distinct(), classes, h.dim).filter(F.col("cosine") >= floor)
-    blocked = blocked_pairs(rows, hot, classes, h, k, floor)
-    back = blocked.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine") if "asks" not in classes.columns else blocked.limit(0)
-    return two_way.unionByName(blocked).unionByName(back).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    """Neighbours (a, b, cosine), both ways, among classes with cosine of at least ``floor``."""
+    filed, asked = bucket_rows(classes, h, True), bucket_rows(classes, h, False)
+    sizes = filed.groupBy("key").agg(F.count("class").alias("n"))
+    small, hot = sizes.filter(F.col("n") <= h.bucket_rows).select("key"), sizes.filter(F.col("n") > h.bucket_rows)
+    open_buckets = filed.join(small, "key").select("key", F.col("class").alias("b"))
+    at_home = filed.select("key", F.col("class").alias("a")).join(open_buckets, "key").filter("a < b")
+    probed = asked.select("key", F.col("class").alias("a")).join(open_buckets, "key").filter("a <> b")
+    pairs = at_home.select("a", "b").unionByName(probed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    near = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor).unionByName(blocked_pairs(filed, asked, hot, classes, h, k, floor))
+    return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int = 5, floor: float = 0.93, h: Hashing = Hashing()) -> DataFrame:
@@ -287,7 +275,7 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     """
     rows = usable(vectors, id_column, vector_column, h.dim)
     names = class_names(rows)
-    classes = rows.join(names.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "vec")
+    classes = rows.join(names.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "vec").filter("class IS NOT NULL")
     members = rows.select("id", "hash").join(names, "hash").select("id", "class")
     # a class enters a neighbour list with at most its k + 1 smallest ids
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("r") <= k + 1)
