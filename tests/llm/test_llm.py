@@ -222,6 +222,7 @@ def test_garbled_texts_are_found_and_restored(spark):
         truth[key] = text
     twice = clean[0].encode().decode("latin-1").encode().decode("latin-1")
     rows += [(2000, twice), (2001, clean[1].encode("cp949").decode("utf-8", "replace")), (2002, "| ??? ?? | 31,839 |\n" + clean[2]), (2003, "although â\x80\x9cpass-throughâ\x80\x9d clauses"), (2004, None), (2005, "")]
+    rows += [(3000 + i, "The “core” units limit it, although “pass-through” clauses apply.") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r for r in mojibake.find_garbled(df).collect()}
     assert set(got) == {*truth, 2000, 2001, 2002, 2003}
