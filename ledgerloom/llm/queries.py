@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return knn.similar_pairs(vectors, "embedding_id", "embedding").select(F.col("id_1").alias("embedding_id_1"), F.col("id_2").alias("embedding_id_2"))
 
 
+def p1_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar of every vector whose id is divisible by 20, with the chunks that name them."""
+    vectors = table(spark, sf, "chunk_embeddings").filter("is_active = 1")
+    near = knn.top_k_search(vectors, vectors.filter("embedding_id % 20 = 0"), "embedding_id", "embedding")
+    named = table(spark, sf, "chunk_metadata").filter("vector_id IS NOT NULL").select(F.col("vector_id").alias("neighbour"), "chunk_id").distinct()
+    return near.join(named, "neighbour", "left").select(F.col("id").alias("embedding_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 9).alias("cosine"), "chunk_id")
+
+
 def _term_counts(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "chunk_metadata").select("chunk_id", "text", "keyword", "loaded_at")
     return terms.marked(terms.term_counts(terms.once_per_record(raw, "chunk_id", ["text", "keyword"]), raw.select("text", "keyword")))
@@ -49,6 +57,6 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p7_found, p7_counts, p8_ids, p9_found, p9_leaks, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top5, p7_found, p7_counts, p8_ids, p9_found, p9_leaks, p10_found, p10_restored)}
 
 SQL: dict[str, str] = {}

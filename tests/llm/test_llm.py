@@ -70,6 +70,20 @@ def test_many_copies_give_k_pairs_each(spark):
     assert got == brute(list(range(40)), x, 5, 0.93)
 
 
+def test_search_is_exact(spark, monkeypatch):
+    x = vectors(n=120)
+    ids = np.random.default_rng(3).permutation(120)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    df = frame(spark, ids, x)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
+    got = knn.top_k_search(df, df.filter("embedding_id % 20 = 0"), "embedding_id", "embedding", 3)
+    for i in range(0, 120, 20):
+        c = u @ u[list(ids).index(i)]
+        expected = sorted(sorted((-round(c[j], 9), int(ids[j])) for j in range(120) if ids[j] != i)[:3])
+        assert sorted((-round(r.cosine, 9), r.neighbour) for r in got.filter(f"id = {i}").collect()) == expected
+    assert knn.top_k_search(df.limit(0), df.limit(0), "embedding_id", "embedding").count() == 0
+
+
 def test_unusable_vectors_are_in_no_pair(spark):
     good = [0.5] * 64
     rows = [(1, good), (2, good), (3, None), (4, []), (5, good[:32]), (6, [*good, 1.0]), (7, [float("nan"), *good[1:]]), (8, [float("inf"), *good[1:]]), (9, [0.0] * 64), (10, [None, *good[1:]]), (None, good), (1, good)]
