@@ -352,3 +352,35 @@ def failure_class(reason: Column) -> Column:
     for name, pattern in reversed(FAILURES):
         chain = F.when(F.lower(reason).rlike(pattern), name).otherwise(chain)
     return F.when(reason.isNotNull(), chain)
+
+
+RESPECTIVELY = re.compile(r"각각|respectively", re.I)
+
+
+def bound_claims(text: str | None, labels: list[str]) -> list[tuple[str, float]]:
+    """Labels and amounts of a sentence with "respectively", paired in order; empty unless their numbers agree."""
+    if not text or not RESPECTIVELY.search(text):
+        return []
+    found = sorted((text.index(x), x) for x in labels if x in text)
+    amounts = [c for c in claims_of(text) if c[0] in ("money", "percent")]
+    return [(label, amount[2]) for (_, label), amount in zip(found, amounts, strict=True)] if len(found) == len(amounts) and found else []
+
+
+def recovered_fragment(text: str | None, quote: str | None, share: float = 0.25, least: int = 20) -> tuple[int, int] | None:
+    """The longest part of a quote that a partial document still holds, if it is long enough."""
+    from difflib import SequenceMatcher
+
+    if not text or not quote:
+        return None
+    m = SequenceMatcher(None, text, quote, autojunk=False).find_longest_match()
+    return (m.a, m.a + m.size) if m.size >= max(least, share * len(quote)) else None
+
+
+def chosen_occurrence(text: str | None, quote: str | None, section: str | None) -> int | None:
+    """Where a repeated quote stands: the first occurrence after the section's heading, else the first."""
+    if not text or not quote:
+        return None
+    heading = text.find(section) if section else -1
+    after = text.find(quote, heading) if heading >= 0 else -1
+    at = after if after >= 0 else text.find(quote)
+    return at if at >= 0 else None
