@@ -25,11 +25,9 @@ SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u200b\u2028\u2029\u202f\u205f\u3000
 
 
 def one_of(value: Column, spellings: dict[str, tuple[str, ...]]) -> Column:
-    word = F.upper(F.regexp_replace(value, SPACE, ""))
-    chain = F.lit(None).cast("string")
-    for proper, forms in spellings.items():
-        chain = F.when(word.isin(*forms), F.lit(proper)).otherwise(chain)
-    return chain
+    """The proper form of a value by a literal map, so the value is folded once."""
+    proper = F.create_map(*[F.lit(x) for form, words in spellings.items() for word in words for x in (word, form)])
+    return F.try_element_at(proper, F.upper(F.regexp_replace(value, SPACE, "")))
 
 
 def report_type(value: Column) -> Column:
