@@ -42,6 +42,8 @@ MAX_ITEM_CHARS = 200_000_000
 #: A template run of so many characters with consistent slots is a re-parameterised question.
 MIN_TEMPLATE = 40
 MAX_WINDOW = 16
+#: Characters after a window's start that are compared, by hash, before an alignment is checked for a verbatim run.
+PROBE = 24
 
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 
@@ -133,6 +135,11 @@ def window_hashes(template: str, k: int) -> np.ndarray:
     return h
 
 
+def padded(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes by start, 0 where the text ends before."""
+    return np.concatenate([hashes, np.zeros(n - len(hashes), dtype=np.uint64)])
+
+
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """The longest run of equal elements of two aligned arrays."""
     differ = np.concatenate([[-1], np.nonzero(a != b)[0], [len(a)]])
@@ -140,13 +147,14 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def fitted_window(items: list[str], canon: Canonicaliser) -> int:
-    """The largest window length (up to MAX_WINDOW) that every run of MIN_RUN characters of every item contains."""
+    """The largest window length (up to MAX_WINDOW) such that every run of MIN_RUN characters of every item holds a window, with PROBE characters from its start on."""
     k = MAX_WINDOW
     for text in items:
         whole = canon(text).template
         for s in range(0, len(text) - MIN_RUN + 1):
-            cut = canon(text[s : s + MIN_RUN]).template
-            while k > 4 and not any(cut[i : i + k] in whole for i in range(len(cut) - k + 1)):
+            cut = canon(text[s : s + MIN_RUN])
+            starts = int(np.searchsorted(cut.places, MIN_RUN - PROBE, "right"))
+            while k > 4 and not any(cut.template[i : i + k] in whole for i in range(min(starts, len(cut.template) - k + 1))):
                 k -= 1
     return k
 
@@ -167,6 +175,9 @@ class Items:
         at = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.empty(0, dtype=np.int64)
         order = np.argsort(h, kind="stable")
         self.hashes, self.owner, self.at = h[order], owner[order].astype(np.int64), at[order].astype(np.int64)
+        self.places = np.array([self.canons[o].places[a] for o, a in zip(self.owner.tolist(), self.at.tolist(), strict=True)], dtype=np.int64)
+        probes = [padded(window_hashes(s, PROBE), len(s)) for s in self.streams]
+        self.probe = np.array([probes[o][p] for o, p in zip(self.owner.tolist(), self.places.tolist(), strict=True)], dtype=np.uint64)
 
 
 def consistent_slots(item: Canon, item_text: str, doc: Canon, doc_text: str, start_item: int, start_doc: int, length: int) -> bool:
@@ -186,35 +197,30 @@ def consistent_slots(item: Canon, item_text: str, doc: Canon, doc_text: str, sta
     return True
 
 
-def leaks_of(text: str | None, items: Items, canon: Canonicaliser) -> list[tuple[int, int, int, bool]]:
-    """(item id, longest shared run, longest shared template run, consistent slots) of a document."""
-    plain = stream(text)
-    if not plain or not len(items.hashes):
-        return []
-    c = canon(plain)
-    h = window_hashes(c.template, items.k)
-    left = np.searchsorted(items.hashes, h, "left")
-    count = np.searchsorted(items.hashes, h, "right") - left
-    hit = np.nonzero(count)[0]
-    if not len(hit):
-        return []
+def leaks_of(plain: str, c: Canon, hit: np.ndarray, left: np.ndarray, count: np.ndarray, items: Items, templates: bool) -> list[tuple[int, int, int, bool]]:
+    """(item id, longest shared run, longest shared template run, consistent slots) of a document.
+
+    ``hit`` holds the document's windows with a partner, ``left`` and ``count`` where its
+    partners lie in the items' table.  Without ``templates`` only verbatim runs are followed up.
+    """
     # the hash join: every (document window, item window) of equal hash, as an alignment
-    n = count[hit]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    entry = np.repeat(left[hit], n) + within
-    owner, item_at, doc_at = items.owner[entry], items.at[entry], np.repeat(hit, n)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    entry = np.repeat(left, count) + within
+    doc_at = np.repeat(hit, count)
+    owner, item_places = items.owner[entry], items.places[entry]
+    places = c.places[doc_at]
+    probes = padded(window_hashes(plain, PROBE), len(plain))
+    same = (probes[places] == items.probe[entry]) & (items.probe[entry] != 0)
     best: dict[int, list] = {}
     doc_codes, doc_template = codes(plain), codes(c.template)
-    item_places = np.array([items.canons[o].places[a] for o, a in zip(owner.tolist(), item_at.tolist(), strict=True)])
-    exact = np.unique(np.stack([owner, c.places[doc_at] - item_places], axis=1), axis=0)
-    for o, shift in exact.tolist():
+    for o, shift in np.unique(np.stack([owner[same], places[same] - item_places[same]], axis=1), axis=0).tolist():
         other = codes(items.streams[o])
         start, stop = max(0, shift), min(len(doc_codes), shift + len(other))
-        run = longest_run(doc_codes[start:stop], other[start - shift : stop - shift])
         entry_ = best.setdefault(o, [0, 0, False])
-        entry_[0] = max(entry_[0], run)
-    for o, shift in np.unique(np.stack([owner, doc_at - item_at], axis=1), axis=0).tolist():
-        if best[o][0] >= MIN_RUN:
+        entry_[0] = max(entry_[0], longest_run(doc_codes[start:stop], other[start - shift : stop - shift]))
+    for o, shift in np.unique(np.stack([owner, doc_at - items.at[entry]], axis=1), axis=0).tolist() if templates else []:
+        found = best.setdefault(o, [0, 0, False])
+        if found[0] >= MIN_RUN:
             continue
         item = items.canons[o]
         other = codes(item.template)
@@ -222,13 +228,32 @@ def leaks_of(text: str | None, items: Items, canon: Canonicaliser) -> list[tuple
         differ = np.concatenate([[start - 1], start + np.nonzero(doc_template[start:stop] != other[start - shift : stop - shift])[0], [stop]])
         gaps = np.diff(differ) - 1
         g = int(gaps.argmax())
-        if gaps[g] > best[o][1]:
+        if gaps[g] > found[1]:
             first = int(differ[g]) + 1
-            best[o][1] = int(gaps[g])
-            best[o][2] = gaps[g] >= MIN_TEMPLATE and consistent_slots(item, items.streams[o], c, plain, first - shift, first, int(gaps[g]))
+            found[1] = int(gaps[g])
+            found[2] = bool(gaps[g] >= MIN_TEMPLATE) and consistent_slots(item, items.streams[o], c, plain, first - shift, first, int(gaps[g]))
     return [(items.ids[o], run, template, ok) for o, (run, template, ok) in best.items()]
 
 
+def leaks_of_batch(texts: list[str | None], items: Items, canon: Canonicaliser, templates: bool) -> Iterator[tuple[int, list[tuple[int, int, int, bool]]]]:
+    """(place in the batch, leaks) of the documents that share a template window with an item.
+
+    The windows of the whole batch are hashed and looked up together; those that
+    span two documents hold a separator and match nothing.
+    """
+    plain = [stream(t) for t in texts]
+    canons = [canon(p) for p in plain]
+    starts = np.cumsum([0, *(len(c.template) + 1 for c in canons)])
+    h = window_hashes("\uffff".join(c.template for c in canons) + "\uffff", items.k)
+    left = np.searchsorted(items.hashes, h, "left")
+    count = np.searchsorted(items.hashes, h, "right") - left
+    hit = np.nonzero(count)[0]
+    owner = np.searchsorted(starts, hit, "right") - 1
+    for n in np.unique(owner).tolist():
+        at = hit[owner == n]
+        yield n, leaks_of(plain[n], canons[n], at - starts[n], left[at], count[at], items, templates)
+
+
 def read_items(items: DataFrame, id_column: str, text_column: str) -> Items:
     """The test material on the driver, behind a check of its size."""
     rows = items.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
@@ -239,8 +264,8 @@ def read_items(items: DataFrame, id_column: str, text_column: str) -> Items:
     return Items(list(found), list(found.values()))
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, run, template_run, kind): kind is verbatim or reparameterised."""
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", templates: bool = True) -> DataFrame:
+    """(doc_id, item_id, run, template_run, kind): kind is verbatim or, with ``templates``, reparameterised."""
     shared = documents.sparkSession.sparkContext.broadcast(read_items(items, item_id, text))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,10 +273,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         canon = Canonicaliser(prepared.lexicon)
         for pdf in frames:
             found = []
-            for doc, body in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for item, run, template, ok in leaks_of(body, prepared, canon):
+            ids = pdf["doc_id"].tolist()
+            for n, shared_with in leaks_of_batch(pdf["text"].tolist(), prepared, canon, templates) if len(prepared.hashes) else []:
+                for item, run, template, ok in shared_with:
                     if run >= MIN_RUN or ok:
-                        found.append((doc, item, run, max(template, 0), "verbatim" if run >= MIN_RUN else "reparameterised"))
+                        found.append((ids[n], item, run, template, "verbatim" if run >= MIN_RUN else "reparameterised"))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "run", "template_run", "kind"])
 
     rows = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
