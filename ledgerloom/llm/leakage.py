@@ -53,6 +53,7 @@ UNIT_WORDS = ("백만원", "천원", "억원", "조원", "원", "톤", "회", "
 DROP = re.compile(r"[\W_]+")
 WORDS = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
+MEASURED = re.compile(r"\d+(?:" + "|".join(sorted(UNIT_WORDS, key=len, reverse=True)) + ")")
 SLOT = re.compile(r"(\d+)(" + "|".join(sorted(UNIT_WORDS, key=len, reverse=True)) + r")?")
 
 
@@ -88,6 +89,12 @@ class Canonicaliser:
             self.names.make_automaton()
         self.any = bool(names)
 
+    def template(self, text: str) -> str:
+        """The template alone; without names two substitutions give it."""
+        if self.any and next(self.names.iter(text), None) is not None:
+            return self(text).template
+        return DIGITS.sub(NUMBER, MEASURED.sub(NUMBER + UNIT, text))
+
     def __call__(self, text: str) -> Canon:
         marks: list[tuple[int, int, str]] = []
         for m in SLOT.finditer(text):
@@ -242,16 +249,16 @@ def leaks_of_batch(texts: list[str | None], items: Items, canon: Canonicaliser,
     span two documents hold a separator and match nothing.
     """
     plain = [stream(t) for t in texts]
-    canons = [canon(p) for p in plain]
-    starts = np.cumsum([0, *(len(c.template) + 1 for c in canons)])
-    h = window_hashes("\uffff".join(c.template for c in canons) + "\uffff", items.k)
+    short = [canon.template(p) for p in plain]
+    starts = np.cumsum([0, *(len(t) + 1 for t in short)])
+    h = window_hashes("\uffff".join(short) + "\uffff", items.k)
     left = np.searchsorted(items.hashes, h, "left")
     count = np.searchsorted(items.hashes, h, "right") - left
     hit = np.nonzero(count)[0]
     owner = np.searchsorted(starts, hit, "right") - 1
     for n in np.unique(owner).tolist():
         at = hit[owner == n]
-        yield n, leaks_of(plain[n], canons[n], at - starts[n], left[at], count[at], items, templates)
+        yield n, leaks_of(plain[n], canon(plain[n]), at - starts[n], left[at], count[at], items, templates)
 
 
 def read_items(items: DataFrame, id_column: str, text_column: str) -> Items:
