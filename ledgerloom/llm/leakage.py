@@ -187,6 +187,19 @@ class Items:
         self.probe = np.array([probes[o][p] for o, p in zip(self.owner.tolist(), self.places.tolist(), strict=True)], dtype=np.uint64)
 
 
+    def state(self) -> dict:
+        """Plain values, for executors that do not have this module."""
+        return {k: v for k, v in self.__dict__.items() if k != "canons"}
+
+    @classmethod
+    def of(cls, state: dict) -> Items:
+        self = cls.__new__(cls)
+        self.__dict__.update(state)
+        canon = Canonicaliser(self.lexicon)
+        self.canons = [canon(s) for s in self.streams]
+        return self
+
+
 def consistent_slots(item: Canon, item_text: str, doc: Canon, doc_text: str, start_item: int, start_doc: int, length: int) -> bool:
     """Whether the names under the placeholders of a template run map one to one."""
     forth: dict[str, str] = {}
@@ -273,10 +286,10 @@ def read_items(items: DataFrame, id_column: str, text_column: str) -> Items:
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", templates: bool = True) -> DataFrame:
     """(doc_id, item_id, run, template_run, kind): kind is verbatim or, with ``templates``, reparameterised."""
-    shared = documents.sparkSession.sparkContext.broadcast(read_items(items, item_id, text))
+    shared = documents.sparkSession.sparkContext.broadcast(read_items(items, item_id, text).state())
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prepared = shared.value
+        prepared = Items.of(shared.value)
         canon = Canonicaliser(prepared.lexicon)
         for pdf in frames:
             found = []
