@@ -47,13 +47,13 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Hashing:
-    """Parameters of the index; the defaults are the production settings for cosine of 0.93 and more."""
+    """Parameters of the index; the defaults find 0.93 of the pairs planted at a cosine of 0.93, more above it."""
 
     dim: int = 64
-    tables: int = 5
-    functions: int = 25
+    tables: int = 18
+    functions: int = 26
     width: float = 2.4
-    probes: int = 7
+    probes: int = 3
     seed: int = 20240117
     bucket_rows: int = 512
     block_rows: int = 4096

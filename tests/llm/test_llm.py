@@ -56,6 +56,19 @@ def test_similar_pairs_agree_with_brute_force(spark):
     assert got <= expected and len(got) >= 0.97 * len(expected) > 0
 
 
+@pytest.mark.parametrize("cosine", [0.931, 0.94, 0.95])
+def test_pairs_planted_near_the_floor_are_found(spark, cosine):
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=(2, 600, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([a, cosine * a + (1 - cosine**2) ** 0.5 * b]).astype(np.float32)
+    expected = brute(range(1200), x, 5, 0.93)
+    got = pairs(frame(spark, range(1200), x), knn.Hashing())
+    assert len(expected) >= 600 and got <= expected and len(got) >= 0.9 * len(expected)
+
+
 def test_a_hot_bucket_is_compared_in_blocks(spark):
     x = vectors(n=240)
     ids = np.arange(len(x))
