@@ -1,12 +1,14 @@
 """Exact vector search, lexical search and evidence selection.
 
-A search has few queries and many candidates: the queries are checked to be at
-most ``MAX_QUERIES`` and broadcast, candidates are scanned once, filtered before
-they are scored, and a top-k per query leaves every task before the shuffle.
+A search has few queries and many candidates: the queries are broadcast in blocks
+of about ``MAX_QUERIES``, candidates are scanned once a block, filtered before they
+are scored, and a top-k per query leaves every task before the shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,18 +27,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def few(queries: DataFrame) -> DataFrame:
-    """The queries behind a check of their number, ready to broadcast."""
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; use the vector join instead")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """All queries, cut by a hash of their id into blocks ready to broadcast."""
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)]
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """Every other row with its score for every query (query_id, query_vector), without the vectors."""
+    parts = [vectors.join(part).filter(F.col(id_column) != F.col("query_id")).withColumn("score", dot(F.col(vector_column), F.col("query_vector"))).drop("query_vector", vector_column) for part in query_blocks(queries)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int, group: list[str] | None = None) -> DataFrame:
     """The k most similar rows of every query (query_id, query_vector), ties by id; per group if given."""
-    scored = vectors.join(few(queries)).filter(F.col(id_column) != F.col("query_id")).withColumn("score", dot(F.col(vector_column), F.col("query_vector")))
-    return top_per_group(scored.drop("query_vector", vector_column), ["query_id", *(group or [])], [F.desc("score"), F.col(id_column)], k)
+    scored = cosine_scores(vectors, queries, id_column, vector_column)
+    return top_per_group(scored, ["query_id", *(group or [])], [F.desc("score"), F.col(id_column)], k)
 
 
 def vector_contract(vectors: DataFrame, id_column: str, vector_column: str, dim: int, tolerance: float = 2e-3) -> DataFrame:
