@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import finance as fin
 from ledgerloom.operators import documents as dx
@@ -376,9 +377,22 @@ def x26(t: Tables) -> DataFrame:
 
 @R.add("X27_evidence_assembly", None)
 def x27(t: Tables) -> DataFrame:
-    filings = b.chunks(t, "text", "corp_code").filter("text IS NOT NULL AND corp_code IS NOT NULL").select("corp_code", F.lit("filing").alias("kind"), F.col("chunk_id").alias("source"), F.substring("text", 1, 200).alias("passage"))
-    numbers = b.slots(t).filter("value IS NOT NULL AND report_type = 'FY'").select("corp_code", F.lit("financial").alias("kind"), F.concat_ws("/", "year", "basis", "metric").alias("source"), F.col("value").cast("string").alias("passage"))
-    return rk.top_per_group(filings.unionByName(numbers), ["corp_code", "kind"], [F.col("source")], 20, "position")
+    """Every passage of the selected filings' whole texts with its place, and every annual figure.
+
+    Selected of a company's period are the first two (one before the latest year) of the chunks that are best for a topic; a period without any mention has its first chunks.
+    """
+    from ledgerloom.operators import retrieval as rt
+    from ledgerloom.plans.signals import TERMS
+
+    scope = ["corp_code", "year", "report_type"]
+    chunks = b.chunks(t, "text", *scope).filter("text IS NOT NULL AND corp_code IS NOT NULL")
+    scores = F.array(*(F.struct(F.lit(i).alias("topic"), rt.lexical_score(F.col("text"), [x]).alias("score")) for i, x in enumerate(TERMS)))
+    chosen = rt.thin_evidence(rt.topic_evidence(chunks.select(*scope, "chunk_id", F.inline(scores)), scope, 8, len(TERMS)), scope, 2025)
+    texts = chunks.join(chosen.select("chunk_id"), "chunk_id", "left_semi").select("corp_code", "text", F.lit("filing").alias("kind"), F.col("chunk_id").alias("source"))
+    filings = dx.passages(texts)
+    numbers = b.slots(t).filter("value IS NOT NULL AND report_type = 'FY'").select("corp_code", F.lit("financial").alias("kind"), F.concat_ws("/", "year", "basis", "metric", "value_type").alias("source"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.col("value").cast("string").alias("passage"))
+    order = Window.partitionBy("corp_code", "kind").orderBy("source", "start")
+    return filings.unionByName(numbers).withColumn("position", F.row_number().over(order))
 
 
 @R.add("X29_provenance_only", None)

@@ -34,3 +34,30 @@ def test_every_query_vector_is_answered(spark, monkeypatch):
     assert entry.queries()["J16_cosine_cross_all"](spark, SF).count() == len(asked) * (len(ids) - 1)
     by_group = entry.queries()["V2_cosine_top_k_by_group_all"](spark, SF).agg(F.count_distinct("query_id").alias("n")).first().n
     assert by_group == len(asked)
+
+
+def chunk_rows(spark, path, rows):
+    """chunk_metadata of (chunk_id, corp_code, year, report_type, text, keyword) in a directory."""
+    full = "chunk_id string, vector_id bigint, corp_code string, corp_name string, year int, report_type string, rcept_no string, section_name string, subsection_name string, text string, keyword string, content_hash string, token_count int, is_searchable int, index_version string, data_version string, is_active int, loaded_at timestamp"
+    given = spark.createDataFrame(rows, "chunk_id string, corp_code string, year int, report_type string, text string, keyword string")
+    names = [c.strip().split(" ") for c in full.split(",")]
+    given.select(*(F.col(n) if n in given.columns else F.lit(None).cast(kind).alias(n) for n, kind in names)).write.parquet(f"{path}/chunk_metadata.parquet")
+
+
+@tables
+def test_evidence_keeps_whole_texts_and_every_period(spark, tmp_path):
+    long = "첫 문장입니다. " + "설비 투자가 이어집니다. " * 30 + "마지막 문장입니다."
+    rows = [(f"{y}-{r}-{i}", "00000990", y, r, long, None) for y in (2023, 2024, 2025) for r in ("Q1", "H1", "Q3", "FY") for i in range(9)]
+    chunk_rows(spark, str(tmp_path), [*rows, ("none", "00000001", 2025, "FY", "언급이 없습니다.", None)])
+    spark.read.parquet("/root/testdata/sf0.1/financial_metric_values.parquet").write.parquet(f"{tmp_path}/financial_metric_values.parquet")
+    found = entry.queries()["X27_evidence_assembly"](spark, str(tmp_path))
+    filings = found.filter("kind = 'filing'").collect()
+    texts = {r[0]: r[4] for r in rows} | {"none": "언급이 없습니다."}
+    assert all(texts[r.source][r.start : r.stop] == r.passage for r in filings)
+    per = {}
+    for r in filings:
+        per.setdefault(r.source, []).append(r.passage)
+    assert all(len(p) == 32 and p[-1] == "마지막 문장입니다." for k, p in per.items() if k != "none") and "none" in per
+    # four periods a year: two chunks of each in the latest, one before; the other company has one
+    assert len(per) == 4 * (2 + 1 + 1) + 1
+    assert found.filter("kind = 'financial'").groupBy("corp_code").count().agg(F.max("count")).first()[0] > 20
