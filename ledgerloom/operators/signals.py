@@ -125,6 +125,33 @@ def blended_change(rates: DataFrame, years: list[int]) -> DataFrame:
     return by_year.select("keyword", (fold if len(years) > 1 else F.lit(0.0)).alias("change_raw"))
 
 
+def comparable_change(counts: DataFrame, totals: DataFrame, years: list[int]) -> DataFrame:
+    """Change per keyword, the newest year compared only on the report types that it and the year before have.
+
+    ``counts`` has keyword, year, report_type and df, ``totals`` year, report_type
+    and total.  Completed years are compared whole.  A comparison with a year (or
+    shared types) without chunks is skipped, a year that has chunks but none with
+    the keyword counts as rate 0; otherwise as ``blended_change``.
+    """
+    before, latest = (years[-2], years[-1]) if len(years) > 1 else (None, years[-1])
+    of = lambda c, y: F.coalesce(F.sum(F.when(F.col("year") == y, F.col(c))), F.lit(0))
+    # one row per report type, then one row
+    types = totals.filter("report_type IS NOT NULL").groupBy("report_type").agg(of("total", before).alias("_p"), of("total", latest).alias("_l"))
+    shared = types.filter("_p > 0 AND _l > 0")
+    whole = totals.agg(*(of("total", y).alias(f"_t{y}") for y in years[:-1]), F.lit(0).alias("_"))
+    sizes = whole.join(F.broadcast(shared.agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("_p"), F.coalesce(F.sum("_l"), F.lit(0)).alias("_l"))))
+    marked = counts.join(F.broadcast(shared.select("report_type", F.lit(True).alias("_s"))), "report_type", "left")
+    alike = lambda y: F.coalesce(F.sum(F.when((F.col("year") == y) & F.col("_s"), F.col("df"))), F.lit(0))
+    per = marked.groupBy("keyword").agg(*(of("df", y).alias(f"_n{y}") for y in years[:-1]), alike(before).alias("_np"), alike(latest).alias("_nl")).join(F.broadcast(sizes))
+    rate = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t))
+    deltas = [rate(f"_n{b}", f"_t{b}") - rate(f"_n{a}", f"_t{a}") for a, b in zip(years, years[1:-1], strict=False) if b == a + 1]
+    if before is not None and latest == before + 1:
+        deltas.append(rate("_nl", "_l") - rate("_np", "_p"))
+    known = F.filter(F.array(*deltas).cast("array<double>"), lambda d: d.isNotNull())
+    fold = F.aggregate(known, F.lit(None).cast("double"), lambda acc, d: F.when(acc.isNull(), d).otherwise(acc * 0.4 + d * 0.6), lambda acc: F.coalesce(acc, F.lit(0.0)))
+    return per.select("keyword", fold.alias("change_raw"))
+
+
 def sector_spread(per_company: DataFrame, companies: Column) -> DataFrame:
     """Per keyword: coverage, entropy and 0.6 * coverage + 0.4 * entropy; needs keyword, df and total per company."""
     g = per_company.groupBy("keyword")

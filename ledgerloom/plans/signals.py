@@ -32,6 +32,12 @@ def year_rates(t: Tables) -> DataFrame:
     return sg.mention_rates(hits(t), totals, ["year"])
 
 
+def comparable_change(t: Tables) -> DataFrame:
+    counts = hits(t).groupBy("keyword", "year", "report_type").agg(F.count(F.lit(1)).alias("df"))
+    totals = b.chunks(t, "year", "report_type").groupBy("year", "report_type").agg(F.count(F.lit(1)).alias("total"))
+    return sg.comparable_change(counts, totals, YEARS)
+
+
 def spread(t: Tables) -> DataFrame:
     totals = b.chunks(t, "corp_code", "year").filter("year = 2025 AND corp_code IS NOT NULL").groupBy("corp_code").agg(F.count(F.lit(1)).alias("total"))
     per = sg.mention_rates(hits(t).filter("year = 2025 AND corp_code IS NOT NULL"), totals, ["corp_code"])
@@ -43,7 +49,7 @@ def spread(t: Tables) -> DataFrame:
 def sector_scores(t: Tables) -> DataFrame:
     """The sector signal in its order: counts, change, spread, noise, percentiles, penalties, rank."""
     now = year_rates(t).filter("year = 2025").select("keyword", F.col("df").alias("current")).filter("current >= 2")
-    change = sg.blended_change(year_rates(t), YEARS)
+    change = comparable_change(t)
     rows = now.join(change, "keyword").join(spread(t).filter("companies >= 2"), "keyword").withColumn("sector", F.lit("all"))
     return sg.suppress_components(sg.signal_scores(rows, ["sector"]), ["sector"], ["재고"])
 
@@ -80,6 +86,12 @@ def k7(t: Tables) -> DataFrame:
     return sg.blended_change(year_rates(t), YEARS).select("keyword", F.round("change_raw", 9).alias("change_raw"))
 
 
+# The SQL of K7_change_blend compares whole years
+@R.add("K7_comparable_change", None)
+def k7_comparable(t: Tables) -> DataFrame:
+    return comparable_change(t).select("keyword", F.round("change_raw", 9).alias("change_raw"))
+
+
 _SPREAD = "ct AS (SELECT corp_code, count(*)::DOUBLE AS total FROM chunks WHERE year = 2025 AND corp_code IS NOT NULL GROUP BY 1), cd AS (SELECT keyword, corp_code, count(*)::DOUBLE AS df, any_value(total) AS total, (SELECT count(*) FROM ct) AS of FROM hits JOIN ct USING (corp_code) WHERE year = 2025 GROUP BY 1, 2), cp AS (SELECT *, (df / total) / sum(df / total) OVER (PARTITION BY keyword) AS p FROM cd), sp AS (SELECT keyword, count(*) AS companies, max(df) / sum(df) AS max_share, greatest(0, least(100, -sum(p * ln(p)) / ln(max(of)) * 100)) AS entropy, count(*) / max(of) * 100 AS coverage FROM cp GROUP BY 1)"
 
 

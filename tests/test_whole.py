@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.operators import retrieval as rt
+from ledgerloom.operators import signals as sg
+from ledgerloom.plans import signals as plans
+from ledgerloom.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -61,3 +64,32 @@ def test_evidence_keeps_whole_texts_and_every_period(spark, tmp_path):
     # four periods a year: two chunks of each in the latest, one before; the other company has one
     assert len(per) == 4 * (2 + 1 + 1) + 1
     assert found.filter("kind = 'financial'").groupBy("corp_code").count().agg(F.max("count")).first()[0] > 20
+
+
+def changes(spark, corpus, years):
+    """Change of keyword k in a corpus of (year, report_type, chunks, chunks with k)."""
+    counts = spark.createDataFrame([("k", y, r, n) for y, r, _, n in corpus if n], "keyword string, year int, report_type string, df long")
+    totals = spark.createDataFrame([(y, r, n) for y, r, n, _ in corpus], "year int, report_type string, total long")
+    return sg.comparable_change(counts, totals, years).first().change_raw
+
+
+def test_newest_year_is_compared_like_for_like(spark):
+    corpus = [(2023, "FY", 10, 2), (2024, "FY", 10, 2), (2025, "Q1", 10, 2), (2025, "H1", 10, 2), (2025, "Q3", 10, 4), (2025, "FY", 10, 4), (2026, "Q1", 10, 4), (2026, "H1", 10, 4)]
+    years = [2023, 2024, 2025, 2026]
+    assert round(changes(spark, corpus, years), 9) == 0.144
+    # a year without chunks is skipped: only 2025 to 2026 is left
+    assert round(changes(spark, [x for x in corpus if x[0] != 2024], years), 9) == 0.2
+    # no type in common: no comparison with the newest year
+    assert round(changes(spark, [(2023, "FY", 10, 1), (2024, "FY", 10, 2), (2025, "H1", 10, 9)], [2023, 2024, 2025]), 9) == 0.1
+    # a year with chunks but none with the keyword has rate 0
+    assert round(changes(spark, [(2023, "FY", 10, 1), (2024, "FY", 10, 0), (2025, "FY", 10, 0)], [2023, 2024, 2025]), 9) == -0.04
+    assert changes(spark, corpus, [2026]) == 0
+
+
+def test_sector_scores_use_the_comparable_change(spark, tmp_path):
+    parts = [(2023, "FY", 1), (2024, "FY", 1), (2024, "Q1", 5), (2025, "Q1", 2)]
+    rows = [(f"{c}{y}{r}{i}", c, y, r, "x", "메모리" if i < n else "기판") for c in ("a", "b") for y, r, n in parts for i in range(5)]
+    chunk_rows(spark, str(tmp_path), rows)
+    got = {r.keyword: r.change_raw for r in plans.sector_scores(Tables(spark, str(tmp_path))).select("keyword", "change_raw").collect()}
+    # 2023 to 2024: 0.2 to 0.6; Q1 of 2024 to Q1 of 2025: 1 to 0.4
+    assert round(got["메모리"], 9) == round(0.4 * 0.4 + 0.6 * -0.6, 9)
