@@ -81,6 +81,14 @@ def d7(t: Tables) -> DataFrame:
     return rows.select("chunk_id", dx.number_column(F.col("s"), 1000).alias("amount"))
 
 
+@R.add("D7_number_parse_all", None)
+def d7_all(t: Tables) -> DataFrame:
+    """Every amount of the whole text; the SQL of D7_number_parse ends with the first."""
+    found = F.regexp_extract_all("text", F.lit("([0-9]{1,3}(?:,[0-9]{3})+)천원"), 1)
+    rows = b.chunks(t, "text").select("chunk_id", F.posexplode(found).alias("place", "s"))
+    return rows.select("chunk_id", "place", dx.number_column(F.col("s"), 1000).alias("amount"))
+
+
 @R.add("D8_account_label", None)
 def d8(t: Tables) -> DataFrame:
     return t.financial_metric_values.select("source_account_name").distinct().select("source_account_name", dx.account_label(F.col("source_account_name")).alias("label"))

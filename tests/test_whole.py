@@ -93,3 +93,10 @@ def test_sector_scores_use_the_comparable_change(spark, tmp_path):
     got = {r.keyword: r.change_raw for r in plans.sector_scores(Tables(spark, str(tmp_path))).select("keyword", "change_raw").collect()}
     # 2023 to 2024: 0.2 to 0.6; Q1 of 2024 to Q1 of 2025: 1 to 0.4
     assert round(got["메모리"], 9) == round(0.4 * 0.4 + 0.6 * -0.6, 9)
+
+
+def test_every_amount_of_a_text_is_parsed(spark, tmp_path):
+    texts = {"a": "매출 1,200천원, 비용 3,400천원, 이익 1,200천원", "b": "없음 12천원", "c": None, "d": "10,000천원"}
+    chunk_rows(spark, str(tmp_path), [(k, "x", 2025, "FY", v, None) for k, v in texts.items()])
+    got = sorted(map(tuple, entry.queries()["D7_number_parse_all"](spark, str(tmp_path)).collect()))
+    assert got == [("a", 0, 1_200_000), ("a", 1, 3_400_000), ("a", 2, 1_200_000), ("d", 0, 10_000_000)]
