@@ -336,6 +336,20 @@ def located(text: str | None, quote: str | None) -> tuple[int, int] | None:
     return None if at < 0 else (places[at], places[at + len(wanted) - 1] + 1)
 
 
+def located_passages(text: str) -> list[tuple[int, int]]:
+    """Where the passages of a text are found again in it, white space apart; repeated ones at their own place."""
+    places = [i for i, ch in enumerate(text) if not ch.isspace()]
+    packed = "".join(text[i] for i in places)
+    out, at = [], 0
+    for _, _, passage in passages_of(text):
+        wanted = "".join(passage.split())
+        found = packed.find(wanted, at)
+        if wanted and found >= 0:
+            at = found + len(wanted)
+            out.append((places[found], places[at - 1] + 1))
+    return out
+
+
 def dedupe_text(rows: DataFrame, scope: list[str], text: str, key: str) -> DataFrame:
     """Every row with the key of the first row of its scope that has the same text; ``sent`` marks that row."""
     first = rows.groupBy(*scope, F.xxhash64(text).alias("_h"), F.md5(text).alias("_m")).agg(F.min(key).alias("same_as"))

@@ -173,7 +173,7 @@ def d19(t: Tables) -> DataFrame:
 
 @R.add("D20_located_quotes", None)
 def d20(t: Tables) -> DataFrame:
-    """The first passage of each chunk found again in its text, white space apart, with a 2,000 character window."""
+    """Every passage of each chunk found again in its text, white space apart, with a 2,000 character window."""
 
     def scan(frames):
         import pandas as pd
@@ -181,10 +181,11 @@ def d20(t: Tables) -> DataFrame:
         for pdf in frames:
             out = []
             for k, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
-                first = next(iter(dx.passages_of(text)), None)
-                place = dx.located(text, first[2]) if first else None
-                if place:
-                    out.append((k, place[0], place[1], text[max(0, place[0] - 1000) : place[0] + 1000]))
+                for start, stop in dx.located_passages(text):
+                    out.append((k, start, stop, text[max(0, start - 1000) : start + 1000]))
+                if len(out) > 5000:  # windows are many times their texts
+                    yield pd.DataFrame(out, columns=["chunk_id", "start", "stop", "excerpt"])
+                    out = []
             yield pd.DataFrame(out, columns=["chunk_id", "start", "stop", "excerpt"])
 
     return b.chunks(t, "text").filter("text IS NOT NULL").mapInPandas(scan, "chunk_id string, start int, stop int, excerpt string")

@@ -282,6 +282,17 @@ def v9(t: Tables) -> DataFrame:
     return c.select("chunk_id", rt.adjacent_context(F.col("text"), F.col("at"), F.col("at") + 2).alias("x")).select("chunk_id", "x.before", "x.after")
 
 
+@R.add("V9_adjacent_context_all", None)
+def v9_all(t: Tables) -> DataFrame:
+    """The context of every mention; the SQL of V9_adjacent_context ends with the first."""
+    parts = F.split("text", "특허", -1)
+    c = b.chunks(t, "text").filter(F.col("text").contains("특허")).withColumn("parts", parts)
+    # mention i stands behind the first i + 1 parts and the i mentions between them
+    at = F.transform(F.sequence(F.lit(0), F.size("parts") - 2), lambda i: F.length(F.array_join(F.slice("parts", 1, i + 1), "특허")))
+    m = c.select("chunk_id", "text", F.posexplode(at).alias("place", "at"))
+    return m.select("chunk_id", "place", rt.adjacent_context(F.col("text"), F.col("at"), F.col("at") + 2).alias("x")).select("chunk_id", "place", "x.before", "x.after")
+
+
 @R.add("V10_hybrid_retrieve", None)
 def v10(t: Tables) -> DataFrame:
     facts = b.slots(t).filter("report_type = 'FY' AND year = 2024").groupBy("corp_code").agg(F.sort_array(F.collect_list(F.struct("metric", "basis", "value"))).alias("financials"))

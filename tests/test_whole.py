@@ -1,12 +1,14 @@
 """Queries that do the whole of a job whose fixed SQL or former code did a part of it."""
 
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ledgerloom.operators import documents as dx
 from ledgerloom.operators import retrieval as rt
 from ledgerloom.operators import signals as sg
 from ledgerloom.plans import signals as plans
@@ -100,3 +102,14 @@ def test_every_amount_of_a_text_is_parsed(spark, tmp_path):
     chunk_rows(spark, str(tmp_path), [(k, "x", 2025, "FY", v, None) for k, v in texts.items()])
     got = sorted(map(tuple, entry.queries()["D7_number_parse_all"](spark, str(tmp_path)).collect()))
     assert got == [("a", 0, 1_200_000), ("a", 1, 3_400_000), ("a", 2, 1_200_000), ("d", 0, 10_000_000)]
+
+
+def test_every_passage_and_mention_is_located(spark, tmp_path):
+    text = "첫 특허.  둘째 줄\n첫 특허. 특허특허 " + "긴 " * 2000 + "끝 특허"
+    chunk_rows(spark, str(tmp_path), [("a", "x", 2025, "FY", text, None), ("b", "x", 2025, "FY", " \n", None), ("c", "x", 2025, "FY", None, None)])
+    got = sorted((r.start, r.stop, r.excerpt) for r in entry.queries()["D20_located_quotes"](spark, str(tmp_path)).collect())
+    assert [(s, e) for s, e, _ in got] == [(s, e) for s, e, _ in dx.passages_of(text)] and len(got) == 4
+    assert all(x == text[max(0, s - 1000) : s + 1000] for s, _, x in got)
+    mentions = sorted((r.place, r.before, r.after) for r in entry.queries()["V9_adjacent_context_all"](spark, str(tmp_path)).collect())
+    at = [m.start() for m in re.finditer("특허", text)]
+    assert mentions == [(i, text[max(0, p - 120) : p], text[p + 2 : p + 122]) for i, p in enumerate(at)] and len(at) == 5
