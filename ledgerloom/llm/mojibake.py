@@ -6,13 +6,14 @@ produced anything.  For every run of characters that some wrong decoding could
 have produced, every candidate encode-decode chain that applies is scored by the
 model in its context; the likeliest is accepted if its characters are known to
 the model and it beats the text as it stands by more than a margin per
-character, which is validated on held-out clean records garbled on purpose.
+character, which is validated on clean records of the training garbled on purpose.
 
 Scale: counting is one pass with local arrays, merged by one small shuffle; the
 model is a table of ``BUCKETS`` hashed bigrams and the 65,536 characters, so
 what is collected and broadcast has the same size for any collection.  Margin
-validation uses a bounded sample (``VALIDATION_ROWS`` clean records), the only
-sampled step.  Repair is one narrow pass over whole texts.
+validation uses a bounded sample (``VALIDATION_ROWS`` records, whichever come
+first, so copies may fill it and another run may differ; the model has counted
+them too), the only sampled step.  Repair is one narrow pass over whole texts.
 
 Defined results: null and empty texts are no case; lost characters (U+FFFD,
 C1 controls, runs of question marks in the place of words) are a case that
@@ -284,7 +285,7 @@ GARBLERS: tuple[tuple[str, str], ...] = (("utf-8", "latin-1"), ("utf-8", "mac_ro
 
 
 def validated_margin(model: Model, clean: list[str]) -> float:
-    """A margin per character well below the gains on held-out clean records garbled on purpose."""
+    """A margin per character well below the gains on clean records garbled on purpose; they need not be held out."""
     gains = []
     for n, text in enumerate(clean):
         right, wrong = GARBLERS[n % len(GARBLERS)]
@@ -310,8 +311,8 @@ def find_garbled(documents: DataFrame, id_column: str = "doc_id", text_column: s
     model = train(texts)
     sample = texts.filter(~F.col("text").rlike("[\\x{FFFD}\\x{80}-\\x{9f}]") & F.col("text").rlike("[^\\x00-\\x7f]")).limit(VALIDATION_ROWS)
     memo: dict[tuple[str, str], bool] = {}
-    held_out = [r.text for r in sample.collect() if spotless(r.text, memo)]
-    margin = validated_margin(model, held_out)
+    checked = [r.text for r in sample.collect() if spotless(r.text, memo)]
+    margin = validated_margin(model, checked)
     shared = spark.sparkContext.broadcast((model.unigrams, model.bigrams, margin))
     id_type = documents.schema[id_column].dataType.simpleString()
 
