@@ -14,13 +14,16 @@ Scale:
   of all rows is hashed and compared once; its members come back at the end, at
   most ``k`` pairs each.
 * Vectors are shuffled once, by id.  The shuffle by bucket carries a bucket, an
-  id and a flag; candidates are thinned by the Hamming distance of 128-bit sign
-  sketches (a true neighbour stays with more than four standard deviations to
-  spare) before the few that are left meet their vectors.
-* A bucket with more than ``bucket_rows`` classes is compared in blocks instead
-  of pair by pair: its classes are split into blocks, every pair of blocks is
-  one matrix product, and only the ``k`` best of each row leave it.  No bucket
-  is capped and no candidate dropped.
+  id and 64 sign bits, which thin the candidates where they meet, before any pair
+  is shuffled (a true neighbour stays with more than three standard deviations
+  to spare); 128 further bits thin the rest before the few that are left meet
+  their vectors.
+* The number of functions and tables follows the number of vectors (``sized``),
+  so the candidates per vector stay where they are.
+* A bucket with more than ``bucket_rows`` filed or ``bucket_asks`` asking classes
+  is compared in blocks instead of pair by pair: every pair of blocks is one
+  matrix product, and the ``k`` best of the rows of both sides leave it, so
+  neither record of a pair misses it.  No bucket is capped.
 * Nothing is collected to the driver or broadcast: the projections are drawn
   from the seed on every executor.
 
@@ -35,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -47,18 +50,54 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Hashing:
-    """Parameters of the index; the defaults find 0.93 of the pairs planted at a cosine of 0.93, more above it."""
+    """Parameters of the index for collections of up to ``base_rows`` vectors; ``sized`` fits them to larger ones."""
 
     dim: int = 64
-    tables: int = 18
-    functions: int = 26
+    tables: int = 8
+    functions: int = 18
     width: float = 2.4
     probes: int = 3
     seed: int = 20240117
+    #: Buckets with more filed or more asking classes are compared in blocks.
     bucket_rows: int = 512
+    bucket_asks: int = 65_536
     block_rows: int = 4096
-    #: Differing sketch bits (of 128) up to which a candidate is compared exactly; 128 keeps all.
+    #: Differing bits of the 64 that travel with a bucket row, up to which two rows become a candidate; 64 keeps all.
+    row_bits: int = 16
+    #: Differing bits of the 128 of the classes up to which a candidate is compared exactly; 128 keeps all.
     sketch_bits: int = 34
+    base_rows: int = 500_000
+    #: Share of the pairs at a cosine of ``floor_cosine`` that ``sized`` keeps.
+    recall: float = 0.95
+    floor_cosine: float = 0.93
+
+
+def found_per_table(h: Hashing, pairs: int = 4000) -> float:
+    """The share of pairs at the floor that one table finds, simulated on random directions with the seed."""
+    rng = np.random.default_rng(h.seed + 2)
+    a, b = rng.normal(size=(2, pairs, h.dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b *= np.sqrt(1 - h.floor_cosine**2) / np.linalg.norm(b, axis=1)[:, None]
+    found = []
+    one = replace(h, tables=4)
+    for (x, px), (y, py) in zip(bucket_keys(a, one), bucket_keys(h.floor_cosine * a + b, one), strict=True):
+        found.append((x == y) | (px == y[:, None]).any(1) | (py == x[:, None]).any(1))
+    return float(np.mean(found))
+
+
+def sized(h: Hashing, rows: int) -> Hashing:
+    """The parameters for a collection of ``rows`` vectors.
+
+    Two unrelated vectors share a cell of one function with a probability of
+    about 0.55, so every factor of 1.8 in the rows takes one more function to
+    keep the candidates per vector where they are; the tables follow from the
+    recall that is asked for at the floor.
+    """
+    if rows <= h.base_rows:
+        return h
+    more = replace(h, functions=h.functions + int(np.ceil(np.log(rows / h.base_rows) / np.log(1.8))))
+    return replace(more, tables=int(np.ceil(np.log(1 - h.recall) / np.log(1 - found_per_table(more)))))
 
 
 def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -145,15 +184,20 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str, dim: int) ->
     return scanned.groupBy("id").agg(F.min(F.struct("hash", "vec")).alias("r")).select("id", "r.hash", "r.vec")
 
 
+def signs(unit: np.ndarray, seed: int, words: int) -> np.ndarray:
+    """The signs of 64 random projections a word, as (rows, words) of int64."""
+    directions = np.random.default_rng(seed).normal(size=(unit.shape[1], 64 * words))
+    return np.packbits(unit @ directions > 0, axis=1).view("<i8")
+
+
 def sketches(classes: DataFrame, h: Hashing) -> DataFrame:
     """(class, s0, s1): the signs of 128 random projections."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions = np.random.default_rng(h.seed + 1).normal(size=(h.dim, 128))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = np.packbits(matrix(batch.column(1), h.dim) @ directions > 0, axis=1).view("<i8")
+            bits = signs(matrix(batch.column(1), h.dim), h.seed + 1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], ["class", "s0", "s1"])
 
     return classes.select("class", "vec").mapInArrow(scan, "class bigint, s0 bigint, s1 bigint")
@@ -170,7 +214,7 @@ def thinned(pairs: DataFrame, classes: DataFrame, h: Hashing) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame, h: Hashing, home: bool) -> DataFrame:
-    """(key, class): the home bucket of every class in every table, or its probe buckets."""
+    """(key, class, sketch): the home bucket of every class in every table, or its probe buckets, with 64 sign bits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +223,14 @@ def bucket_rows(classes: DataFrame, h: Hashing, home: bool) -> DataFrame:
             unit = matrix(batch.column(1), h.dim)
             unit /= np.linalg.norm(unit, axis=1)[:, None]
             ids = batch.column(0).to_numpy()
+            sketch = np.ascontiguousarray(signs(unit, h.seed + 3, 1)[:, 0])
             for own, probes in bucket_keys(unit, h):
-                if home:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids)], ["key", "class"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(probes.ravel()), pa.array(np.repeat(ids, probes.shape[1]))], ["key", "class"])
+                n = 1 if home else probes.shape[1]
+                key = own if home else probes.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sketch, n))], ["key", "class", "sketch"])
 
     # stated here because the joins infer it, and an exchange is only shared by equal plans
-    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint").filter("key IS NOT NULL AND class IS NOT NULL").repartition("key")
+    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint, sketch bigint").filter("key IS NOT NULL AND class IS NOT NULL").repartition("key")
 
 
 def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
@@ -206,19 +250,26 @@ def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
     return both.mapInArrow(scan, "a bigint, b bigint, cosine double")
 
 
+def kth_best(c: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """The k-th largest value along an axis, the smallest where there are fewer."""
+    at = max(c.shape[axis] - k, 0)
+    return np.take(np.partition(c, at, axis=axis), at, axis=axis)
+
+
 def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
-    """Pairs (a, b, cosine) inside hot buckets: per row of a block pair the ``k`` best of at least ``floor``.
+    """Pairs (a, b, cosine) inside hot buckets: for the rows of either side of a block pair the ``k`` best of at least ``floor``.
 
-    A bucket of n classes is cut into b = ceil(n / block_rows) blocks on either
-    side, b * b independent tasks of bounded size.
+    A bucket with n filed and m asking classes (``hot``: key, n, m) is cut into
+    ceil(n / block_rows) times ceil(m / block_rows) block pairs, independent
+    groups of bounded size.
     """
-    blocks = F.ceil(F.col("n") / h.block_rows).cast("int")
-    own = F.pmod(F.xxhash64("class", F.lit(h.seed)), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    inside = filed.join(hot, "key").join(classes, "class")
-    outside = asked.join(hot, "key").join(classes, "class")
-    filing = inside.select("key", own.alias("i"), "class", "vec", every.alias("j"), F.lit(True).alias("home"))
-    asking = inside.unionByName(outside).select("key", own.alias("j"), "class", "vec", every.alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
+    part = lambda n: F.ceil(F.col(n) / h.block_rows).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("class", F.lit(h.seed)), part(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
+    inside = filed.drop("sketch").join(hot, "key").join(classes, "class")
+    outside = asked.drop("sketch").join(hot, "key").join(classes, "class")
+    filing = inside.select("key", own("n").alias("i"), "class", "vec", every("m").alias("j"), F.lit(True).alias("home"))
+    asking = inside.unionByName(outside).select("key", own("m").alias("j"), "class", "vec", every("n").alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -233,10 +284,11 @@ def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: D
         for s in range(0, len(a), 1024):
             c = xm[s : s + 1024] @ ym.T
             c[a[s : s + 1024][:, None] == b[None, :]] = -2
-            best = np.argpartition(-c, min(k, len(b)) - 1, axis=1)[:, :k]
-            values = np.take_along_axis(c, best, axis=1)
+            # the best of either side leave, as a pair may be needed by one of its records alone;
             # every neighbour as similar as the k-th stays, so ties are settled later
-            row, col = np.nonzero((c >= values.min(1)[:, None]) & (c >= floor))
+            by_row = kth_best(c, k, 1)
+            by_col = kth_best(c, k, 0)
+            row, col = np.nonzero(((c >= by_row[:, None]) | (c >= by_col[None, :])) & (c >= floor))
             found.append(pd.DataFrame({"a": a[s + row], "b": b[col], "cosine": c[row, col]}))
         return pd.concat(found)
 
@@ -251,11 +303,15 @@ def class_names(rows: DataFrame) -> DataFrame:
 def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
     """Neighbours (a, b, cosine), both ways, among classes with cosine of at least ``floor``."""
     filed, asked = bucket_rows(classes, h, True), bucket_rows(classes, h, False)
-    sizes = filed.groupBy("key").agg(F.count("class").alias("n"))
-    small, hot = sizes.filter(F.col("n") <= h.bucket_rows).select("key"), sizes.filter(F.col("n") > h.bucket_rows)
-    open_buckets = filed.join(small, "key").select("key", F.col("class").alias("b"))
-    at_home = filed.select("key", F.col("class").alias("a")).join(open_buckets, "key").filter("a < b")
-    probed = asked.select("key", F.col("class").alias("a")).join(open_buckets, "key").filter("a <> b")
+    asks = asked.groupBy("key").agg(F.count("class").alias("asks"))
+    # filed classes ask at home too
+    sizes = filed.groupBy("key").agg(F.count("class").alias("n")).join(asks, "key", "left").select("key", "n", (F.col("n") + F.coalesce("asks", F.lit(0))).alias("m"))
+    is_small = (F.col("n") <= h.bucket_rows) & (F.col("m") <= h.bucket_asks)
+    small, hot = sizes.filter(is_small).select("key"), sizes.filter(~is_small)
+    open_buckets = filed.join(small, "key").select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("t"))) <= h.row_bits
+    at_home = filed.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a < b").filter(alike)
+    probed = asked.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a <> b").filter(alike)
     pairs = at_home.select("a", "b").unionByName(probed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     near = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor).unionByName(blocked_pairs(filed, asked, hot, classes, h, k, floor))
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
@@ -267,8 +323,10 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     Columns: id_1, id_2 (the smaller first), cosine.
 
     Neighbours below the floor cannot displace one above it, so ranks among the
-    neighbours of at least ``floor`` are ranks among all.
+    neighbours of at least ``floor`` are ranks among all.  Counting the vectors,
+    which the parameters follow, is a job that runs while the plan is built.
     """
+    h = sized(h, vectors.count())
     rows = usable(vectors, id_column, vector_column, h.dim)
     names = class_names(rows)
     classes = rows.join(names.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "vec").filter("class IS NOT NULL")
@@ -292,62 +350,54 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     return joined.groupBy(F.least("id", "x.id").alias("id_1"), F.greatest("id", "x.id").alias("id_2")).agg(F.max("x.cosine").alias("cosine"))
 
 
-#: Query vectors a broadcast may hold: 131,072 of 64 numbers are 34 MB, whatever the collection's size.
-QUERY_BLOCK = 131_072
+#: Rows of a block of queries and of a block of vectors in the exact search.
+QUERY_BLOCK, VECTOR_BLOCK = 8192, 32_768
 
 
 def top_k_search(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 5, dim: int = 64) -> DataFrame:
     """The exact k most similar other records of a stated set of query ids: id, rank, neighbour, cosine.
 
-    The queries are taken in blocks of at most ``QUERY_BLOCK``, each broadcast and
-    multiplied with all rows in one narrow pass; a task keeps k neighbours per
-    query.  For neighbours at any distance this replaces hashing, which would have
-    to visit most buckets to find them.
+    Queries and vectors are cut into blocks of bounded size by a hash of their
+    ids; every pair of blocks is one group, a matrix product in one task that
+    keeps k neighbours a query.  Nothing goes through the driver but the two
+    counts that fix the number of blocks (jobs that run while the plan is
+    built).  For neighbours at any distance this replaces hashing, which would
+    have to visit most buckets to find them; it is quadratic in the collection
+    at a fixed share of queries.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, id_column, vector_column, dim)
-    asking = rows.join(queries.select(F.col(id_column).cast("bigint").alias("id")).distinct(), "id", "left_semi")
-    blocks = -(-asking.count() // QUERY_BLOCK)
-    parts = [asking.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = None
-    for part in parts:
-        block = part.select("id", "vec").toPandas()
-        q = np.frombuffer(b"".join(block["vec"]), dtype="<f4").reshape(-1, dim).astype(np.float64)
-        shared = spark.sparkContext.broadcast((block["id"].to_numpy(), q / np.linalg.norm(q, axis=1)[:, None]))
-        one = rows.select("id", "vec").mapInArrow(_block_search(shared, k, dim), "a bigint, b bigint, cosine double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    rows = usable(vectors, id_column, vector_column, dim).select("id", "vec")
+    asking = queries.select(F.col(id_column).cast("bigint").alias("id")).distinct()
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (asking, QUERY_BLOCK)))
+    place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.join(asking, "id", "left_semi").select("id", "vec", place(1, down).alias("i"), every(across).alias("j"))
+    right = rows.select(F.col("id").alias("other"), F.col("vec").alias("other_vec"), place(2, across).alias("j"), every(down).alias("i"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_search(k, dim), "a bigint, b bigint, cosine double")
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("a").alias("id"), "rank", F.col("b").alias("neighbour"), "cosine")
 
 
-def _block_search(shared, k: int, dim: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
-        best = np.full((len(ids), k), -2.0)
-        owner = np.full((len(ids), k), -1, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1), dim)
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            others = batch.column(0).to_numpy()
-            order = np.argsort(others, kind="stable")
-            others, x = others[order], x[order]
-            for s in range(0, len(ids), 2048):
-                c = unit[s : s + 2048] @ x.T
+def _block_search(k: int, dim: int):
+    def search(asking: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        def side(part: pd.DataFrame, name: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
+            part = part.sort_values(name)
+            m = np.frombuffer(b"".join(part[vec]), dtype="<f4").reshape(-1, dim).astype(np.float64)
+            return part[name].to_numpy(), m / np.linalg.norm(m, axis=1)[:, None]
+
+        found = [pd.DataFrame({"a": [], "b": [], "cosine": []})]
+        if len(asking) and len(others):
+            (ids, unit), (names, x) = side(asking, "id", "vec"), side(others, "other", "other_vec")
+            for s in range(0, len(ids), 512):
+                mine = ids[s : s + 512]
+                c = unit[s : s + 512] @ x.T
                 # a record is not its own neighbour
-                at = np.searchsorted(others, ids[s : s + 2048])
-                own = np.nonzero((at < len(others)) & (others[np.minimum(at, len(others) - 1)] == ids[s : s + 2048]))[0]
+                at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+                own = np.nonzero(names[at] == mine)[0]
                 c[own, at[own]] = -2
-                top = np.argpartition(-c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
-                value = np.concatenate([best[s : s + 2048], np.take_along_axis(c, top, axis=1)], axis=1)
-                names = np.concatenate([owner[s : s + 2048], others[top]], axis=1)
-                keep = np.lexsort((names, -value), axis=1)[:, :k]
-                best[s : s + 2048] = np.take_along_axis(value, keep, axis=1)
-                owner[s : s + 2048] = np.take_along_axis(names, keep, axis=1)
-        q, r = np.nonzero(best > -2)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(owner[q, r]), pa.array(best[q, r])], ["a", "b", "cosine"])
-
-    return scan
+                # every neighbour as similar as the k-th stays, ties are settled by id later
+                least = kth_best(c, k, 1)
+                row, col = np.nonzero((c >= least[:, None]) & (c > -2))
+                found.append(pd.DataFrame({"a": mine[row], "b": names[col], "cosine": c[row, col]}))
+        return pd.concat(found)
+
+    return search

@@ -77,6 +77,19 @@ def test_a_hot_bucket_is_compared_in_blocks(spark):
     assert pairs(frame(spark, ids, x), one) == brute(ids, x, 5, 0.93)
 
 
+@pytest.mark.parametrize("size", [2, 8, 512])
+def test_pairs_do_not_depend_on_the_size_of_a_hot_bucket(spark, size):
+    x = np.concatenate([vectors(seed=3, n=240), 1 + 0.05 * np.random.default_rng(4).normal(size=(60, 64)).astype(np.float32)])
+    h = knn.Hashing(tables=2, functions=6, bucket_rows=size, block_rows=7, row_bits=64, sketch_bits=128)
+    assert pairs(frame(spark, range(300), x), h, k=5) == pairs(frame(spark, range(300), x), knn.Hashing(tables=2, functions=6, bucket_rows=10**6, row_bits=64, sketch_bits=128), k=5)
+
+
+def test_functions_and_tables_follow_the_number_of_vectors():
+    small, large = knn.sized(knn.Hashing(), 1000), knn.sized(knn.Hashing(), 50_000_000)
+    assert small == knn.Hashing() and large.functions > small.functions and large.tables > small.tables
+    assert 1 - (1 - knn.found_per_table(large)) ** large.tables >= 0.94
+
+
 def test_many_copies_give_k_pairs_each(spark):
     x = np.tile(vectors()[:1], (40, 1))
     got = pairs(frame(spark, range(40), x), knn.Hashing())
