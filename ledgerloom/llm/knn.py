@@ -53,7 +53,7 @@ class Hashing:
     """Parameters of the index for collections of up to ``base_rows`` vectors; ``sized`` fits them to larger ones."""
 
     dim: int = 64
-    tables: int = 8
+    tables: int = 10
     functions: int = 18
     width: float = 2.4
     probes: int = 3
@@ -68,7 +68,7 @@ class Hashing:
     sketch_bits: int = 34
     base_rows: int = 500_000
     #: Share of the pairs at a cosine of ``floor_cosine`` that ``sized`` keeps.
-    recall: float = 0.95
+    recall: float = 0.98
     floor_cosine: float = 0.93
 
 
@@ -230,7 +230,7 @@ def bucket_rows(classes: DataFrame, h: Hashing, home: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sketch, n))], ["key", "class", "sketch"])
 
     # stated here because the joins infer it, and an exchange is only shared by equal plans
-    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint, sketch bigint").filter("key IS NOT NULL AND class IS NOT NULL").repartition("key")
+    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint, sketch bigint").filter("key IS NOT NULL AND class IS NOT NULL AND sketch IS NOT NULL").repartition("key")
 
 
 def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
@@ -264,10 +264,10 @@ def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: D
     groups of bounded size.
     """
     part = lambda n: F.ceil(F.col(n) / h.block_rows).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("class", F.lit(h.seed)), part(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("class", "sketch"), part(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
-    inside = filed.drop("sketch").join(hot, "key").join(classes, "class")
-    outside = asked.drop("sketch").join(hot, "key").join(classes, "class")
+    inside = filed.join(hot, "key").join(classes, "class")
+    outside = asked.join(hot, "key").join(classes, "class")
     filing = inside.select("key", own("n").alias("i"), "class", "vec", every("m").alias("j"), F.lit(True).alias("home"))
     asking = inside.unionByName(outside).select("key", own("m").alias("j"), "class", "vec", every("n").alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
 
@@ -303,18 +303,21 @@ def class_names(rows: DataFrame) -> DataFrame:
 def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
     """Neighbours (a, b, cosine), both ways, among classes with cosine of at least ``floor``."""
     filed, asked = bucket_rows(classes, h, True), bucket_rows(classes, h, False)
-    asks = asked.groupBy("key").agg(F.count("class").alias("asks"))
+    # every use of the bucket rows reads their sketches too, as an exchange is only shared by equal plans
+    number = F.count_if(F.col("class").isNotNull() & F.col("sketch").isNotNull())
+    asks = asked.groupBy("key").agg(number.alias("asks"))
     # filed classes ask at home too
-    sizes = filed.groupBy("key").agg(F.count("class").alias("n")).join(asks, "key", "left").select("key", "n", (F.col("n") + F.coalesce("asks", F.lit(0))).alias("m"))
-    is_small = (F.col("n") <= h.bucket_rows) & (F.col("m") <= h.bucket_asks)
-    small, hot = sizes.filter(is_small).select("key"), sizes.filter(~is_small)
-    open_buckets = filed.join(small, "key").select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
+    sizes = filed.groupBy("key").agg(number.alias("n")).join(asks, "key", "left").select("key", "n", (F.col("n") + F.coalesce("asks", F.lit(0))).alias("m"))
+    # few keys or none, behind an exchange of their own that all uses share (by key alone it would be planned away)
+    hot = sizes.filter((F.col("n") > h.bucket_rows) | (F.col("m") > h.bucket_asks)).repartition(F.xxhash64("key"))
+    open_buckets = filed.join(hot.select("key"), "key", "left_anti").select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("t"))) <= h.row_bits
     at_home = filed.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a < b").filter(alike)
     probed = asked.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a <> b").filter(alike)
     pairs = at_home.select("a", "b").unionByName(probed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     near = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor).unionByName(blocked_pairs(filed, asked, hot, classes, h, k, floor))
-    return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    both_ways = F.inline(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")))
+    return near.select(both_ways).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int = 5, floor: float = 0.93, h: Hashing = Hashing()) -> DataFrame:
@@ -329,7 +332,9 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     h = sized(h, vectors.count())
     rows = usable(vectors, id_column, vector_column, h.dim)
     names = class_names(rows)
-    classes = rows.join(names.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "vec").filter("class IS NOT NULL")
+    # the hash is read here so that the vectors' exchange is the one that the members read
+    named = names.select("class", F.col("hash").alias("of"))
+    classes = rows.join(named, (F.col("id") == F.col("class")) & (F.col("hash").bitwiseXOR(F.col("of")) == 0), "left_semi").select(F.col("id").alias("class"), "vec").filter("class IS NOT NULL")
     members = rows.select("id", "hash").join(names, "hash").select("id", "class")
     # a class enters a neighbour list with at most its k + 1 smallest ids
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("r") <= k + 1)
