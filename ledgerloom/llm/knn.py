@@ -9,21 +9,22 @@ are merged and reranked by exact cosine in double precision.
 
 Scale:
 
-* Exact copies are one *class*, named by its smallest id and found by a hash of
-  the vector's bytes with map-side combining, so a vector that makes up a third
-  of all rows is hashed and compared once; its members come back at the end, at
-  most ``k`` pairs each.
-* Vectors are shuffled once, by id.  The shuffle by bucket carries a bucket, an
+* Exact copies are one *class*, named by a 64-bit hash of the vector and merged
+  with map-side combining, so a vector that makes up a third of all rows is
+  hashed and compared once; its members come back at the end, at most ``k``
+  pairs each.
+* Vectors are shuffled once, by class.  The shuffle by bucket carries a bucket, an
   id and 64 sign bits, which thin the candidates where they meet, before any pair
-  is shuffled (a true neighbour stays with more than three standard deviations
+  is shuffled (a true neighbour stays with close to three standard deviations
   to spare); 128 further bits thin the rest before the few that are left meet
   their vectors.
 * The number of functions and tables follows the number of vectors (``sized``),
   so the candidates per vector stay where they are.
-* A bucket with more than ``bucket_rows`` filed or ``bucket_asks`` asking classes
-  is compared in blocks instead of pair by pair: every pair of blocks is one
-  matrix product, and the ``k`` best of the rows of both sides leave it, so
-  neither record of a pair misses it.  No bucket is capped.
+* A bucket with more than ``bucket_rows`` filed classes is compared in blocks
+  instead of pair by pair: every pair of blocks is one matrix product, and the
+  ``k`` best of the rows of both sides leave it, so neither record of a pair
+  misses it.  No bucket is capped; in the others an asking row meets at most
+  ``bucket_rows`` classes.
 * Nothing is collected to the driver or broadcast: the projections are drawn
   from the seed on every executor.
 
@@ -35,7 +36,6 @@ is one record (its vector with the smaller hash where they differ).
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -43,7 +43,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,22 +53,21 @@ class Hashing:
     """Parameters of the index for collections of up to ``base_rows`` vectors; ``sized`` fits them to larger ones."""
 
     dim: int = 64
-    tables: int = 10
-    functions: int = 18
+    tables: int = 9
+    functions: int = 17
     width: float = 2.4
-    probes: int = 3
+    probes: int = 2
     seed: int = 20240117
-    #: Buckets with more filed or more asking classes are compared in blocks.
+    #: Buckets with more filed classes are compared in blocks.
     bucket_rows: int = 512
-    bucket_asks: int = 65_536
     block_rows: int = 4096
     #: Differing bits of the 64 that travel with a bucket row, up to which two rows become a candidate; 64 keeps all.
-    row_bits: int = 16
+    row_bits: int = 15
     #: Differing bits of the 128 of the classes up to which a candidate is compared exactly; 128 keeps all.
-    sketch_bits: int = 34
+    sketch_bits: int = 29
     base_rows: int = 500_000
     #: Share of the pairs at a cosine of ``floor_cosine`` that ``sized`` keeps.
-    recall: float = 0.98
+    recall: float = 0.96
     floor_cosine: float = 0.93
 
 
@@ -149,39 +148,16 @@ def bucket_keys(unit: np.ndarray, h: Hashing) -> Iterator[tuple[np.ndarray, np.n
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a binary column of float32 as doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(-1, dim).astype(np.float64)
-
-
-def usable_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the usable vectors of a list<float> column, and these as float32."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = column.offsets.to_numpy()
-    at = np.nonzero((np.diff(offsets) == dim) & column.is_valid().to_numpy(zero_copy_only=False))[0]
-    if not len(at):
-        return at, np.empty((0, dim), dtype=np.float32)
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float32)  # nulls become NaN
-    rows = flat[offsets[at][:, None] + np.arange(dim)]
-    good = np.isfinite(rows).all(1) & (rows != 0).any(1)
-    return at[good], np.ascontiguousarray(rows[good])
+    """Rows of a list<float> column without nulls as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, dim: int) -> DataFrame:
-    """(id, hash, vec) of every usable record: hash of the vector's bytes, vec those bytes, one row per id."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = usable_rows(batch.column(1), dim)
-            raw = [r.tobytes() for r in rows]
-            hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(pa.int64()), pa.array(hashes, pa.int64()), pa.array(raw, pa.binary())], ["id", "hash", "vec"])
-
-    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<float>").alias("v"))
-    scanned = rows.filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(scan, "id bigint, hash bigint, vec binary")
-    # stated here because joins on id infer it, and the exchange is only shared by equal plans
-    scanned = scanned.filter("id IS NOT NULL")
-    return scanned.groupBy("id").agg(F.min(F.struct("hash", "vec")).alias("r")).select("id", "r.hash", "r.vec")
+    """(id, hash, vec) of every usable row: hash of the vector, vec its numbers; a record delivered again has several."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<float>").alias("vec"))
+    good = F.col("id").isNotNull() & (F.size("vec") == dim) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0)
+    return rows.filter(good).select("id", F.xxhash64("vec").alias("hash"), "vec")
 
 
 def signs(unit: np.ndarray, seed: int, words: int) -> np.ndarray:
@@ -230,7 +206,7 @@ def bucket_rows(classes: DataFrame, h: Hashing, home: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sketch, n))], ["key", "class", "sketch"])
 
     # stated here because the joins infer it, and an exchange is only shared by equal plans
-    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint, sketch bigint").filter("key IS NOT NULL AND class IS NOT NULL AND sketch IS NOT NULL").repartition("key")
+    return classes.select("class", "vec").mapInArrow(scan, "key bigint, class bigint, sketch bigint").filter("key IS NOT NULL AND class IS NOT NULL AND sketch IS NOT NULL")
 
 
 def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
@@ -250,6 +226,11 @@ def exact_cosine(pairs: DataFrame, classes: DataFrame, dim: int) -> DataFrame:
     return both.mapInArrow(scan, "a bigint, b bigint, cosine double")
 
 
+def rows_counted() -> Column:
+    """A count of bucket rows that reads all their columns: an exchange is only shared by equal plans."""
+    return F.count_if(F.pmod(F.col("class").bitwiseXOR(F.col("sketch")), F.lit(2)) < 2)
+
+
 def kth_best(c: np.ndarray, k: int, axis: int) -> np.ndarray:
     """The k-th largest value along an axis, the smallest where there are fewer."""
     at = max(c.shape[axis] - k, 0)
@@ -259,21 +240,24 @@ def kth_best(c: np.ndarray, k: int, axis: int) -> np.ndarray:
 def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
     """Pairs (a, b, cosine) inside hot buckets: for the rows of either side of a block pair the ``k`` best of at least ``floor``.
 
-    A bucket with n filed and m asking classes (``hot``: key, n, m) is cut into
+    A bucket with n filed (``hot``: key, n) and m asking classes is cut into
     ceil(n / block_rows) times ceil(m / block_rows) block pairs, independent
     groups of bounded size.
     """
     part = lambda n: F.ceil(F.col(n) / h.block_rows).cast("int")
     own = lambda n: F.pmod(F.xxhash64("class", "sketch"), part(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
-    inside = filed.join(hot, "key").join(classes, "class")
-    outside = asked.join(hot, "key").join(classes, "class")
+    asks = asked.join(hot, "key").groupBy("key").agg(rows_counted().alias("asks"))
+    # filed classes ask at home too
+    sizes = hot.join(asks, "key", "left").select("key", "n", (F.col("n") + F.coalesce("asks", F.lit(0))).alias("m"))
+    inside = filed.join(sizes, "key").join(classes, "class")
+    outside = asked.join(sizes, "key").join(classes, "class")
     filing = inside.select("key", own("n").alias("i"), "class", "vec", every("m").alias("j"), F.lit(True).alias("home"))
     asking = inside.unionByName(outside).select("key", own("m").alias("j"), "class", "vec", every("n").alias("i"), F.lit(False).alias("home")).select("key", "i", "class", "vec", "j", "home")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            m = np.frombuffer(b"".join(part["vec"]), dtype="<f4").reshape(-1, h.dim).astype(np.float64)
+            m = np.stack(part["vec"].to_list()).astype(np.float64)
             return part["class"].to_numpy(), m / np.linalg.norm(m, axis=1)[:, None]
 
         x, y = pdf[~pdf["home"]], pdf[pdf["home"]]
@@ -295,29 +279,23 @@ def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: D
     return filing.unionByName(asking).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint, cosine double")
 
 
-def class_names(rows: DataFrame) -> DataFrame:
-    """(hash, class): the smallest id of every distinct vector; copies are combined before the shuffle."""
-    return rows.groupBy("hash").agg(F.min("id").alias("class"))
-
-
-def class_neighbours(classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
-    """Neighbours (a, b, cosine), both ways, among classes with cosine of at least ``floor``."""
+def class_neighbours(classes: DataFrame, live: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
+    """Neighbours (a, b, cosine), both ways, among the ``live`` classes with cosine of at least ``floor``."""
     filed, asked = bucket_rows(classes, h, True), bucket_rows(classes, h, False)
-    # every use of the bucket rows reads their sketches too, as an exchange is only shared by equal plans
-    number = F.count_if(F.col("class").isNotNull() & F.col("sketch").isNotNull())
-    asks = asked.groupBy("key").agg(number.alias("asks"))
-    # filed classes ask at home too
-    sizes = filed.groupBy("key").agg(number.alias("n")).join(asks, "key", "left").select("key", "n", (F.col("n") + F.coalesce("asks", F.lit(0))).alias("m"))
-    # few keys or none, behind an exchange of their own that all uses share (by key alone it would be planned away)
-    hot = sizes.filter((F.col("n") > h.bucket_rows) | (F.col("m") > h.bucket_asks)).repartition(F.xxhash64("key"))
-    open_buckets = filed.join(hot.select("key"), "key", "left_anti").select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
+    # counted in a window, so that all uses share the exchange of the bucket rows themselves
+    counted = filed.withColumn("n", F.count("class").over(Window.partitionBy("key")))
+    open_buckets = counted.filter(F.col("n") <= h.bucket_rows)
+    hot = counted.filter(F.col("n") > h.bucket_rows).groupBy("key").agg(rows_counted().alias("n"))
+    there = open_buckets.select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("t"))) <= h.row_bits
-    at_home = filed.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a < b").filter(alike)
-    probed = asked.withColumnRenamed("class", "a").join(open_buckets, "key").filter("a <> b").filter(alike)
-    pairs = at_home.select("a", "b").unionByName(probed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    near = exact_cosine(thinned(pairs, classes, h), classes, h.dim).filter(F.col("cosine") >= floor).unionByName(blocked_pairs(filed, asked, hot, classes, h, k, floor))
+    at_home = open_buckets.select("key", F.col("class").alias("a"), "sketch").join(there, "key").filter("a < b").filter(alike)
+    probed = asked.join(there, "key").filter("class <> b").filter(alike)
+    pairs = at_home.select("a", "b").unionByName(probed.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")))
+    few = thinned(pairs, classes, h).distinct()
+    near = exact_cosine(few, classes, h.dim).filter(F.col("cosine") >= floor).unionByName(blocked_pairs(filed, asked, hot, classes.join(live, "class", "left_semi"), h, k, floor))
     both_ways = F.inline(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")))
-    return near.select(both_ways).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    found = near.select(both_ways).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    return found.join(live.select(F.col("class").alias("b")), "b", "left_semi").join(live.select(F.col("class").alias("a")), "a", "left_semi")
 
 
 def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int = 5, floor: float = 0.93, h: Hashing = Hashing()) -> DataFrame:
@@ -331,14 +309,13 @@ def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, k: int
     """
     h = sized(h, vectors.count())
     rows = usable(vectors, id_column, vector_column, h.dim)
-    names = class_names(rows)
-    # the hash is read here so that the vectors' exchange is the one that the members read
-    named = names.select("class", F.col("hash").alias("of"))
-    classes = rows.join(named, (F.col("id") == F.col("class")) & (F.col("hash").bitwiseXOR(F.col("of")) == 0), "left_semi").select(F.col("id").alias("class"), "vec").filter("class IS NOT NULL")
-    members = rows.select("id", "hash").join(names, "hash").select("id", "class")
+    members = rows.groupBy("id").agg(F.min("hash").alias("class"))
+    # no join stands before the exchanges that are to be shared
+    classes = rows.groupBy(F.col("hash").alias("class")).agg(F.first("vec").alias("vec"))
+    live = members.select("class").distinct()
     # a class enters a neighbour list with at most its k + 1 smallest ids
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("r") <= k + 1)
-    near = class_neighbours(classes, h, k, floor).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
+    near = class_neighbours(classes, live, h, k, floor).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
     # copies of the k-th neighbour's similarity could only lose to it by id: keep ties
     cut = near.withColumn("cut", F.min(F.when(F.col("r") <= k, F.col("cosine"))).over(Window.partitionBy("a"))).filter(F.col("cosine") >= F.col("cut"))
     copies = first.filter("r = 2").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("cosine"))
@@ -370,7 +347,7 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, id_column: str, vector_
     have to visit most buckets to find them; it is quadratic in the collection
     at a fixed share of queries.
     """
-    rows = usable(vectors, id_column, vector_column, dim).select("id", "vec")
+    rows = usable(vectors, id_column, vector_column, dim).groupBy("id").agg(F.min_by("vec", "hash").alias("vec"))
     asking = queries.select(F.col(id_column).cast("bigint").alias("id")).distinct()
     across, down = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (asking, QUERY_BLOCK)))
     place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
@@ -386,7 +363,7 @@ def _block_search(k: int, dim: int):
     def search(asking: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame, name: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
             part = part.sort_values(name)
-            m = np.frombuffer(b"".join(part[vec]), dtype="<f4").reshape(-1, dim).astype(np.float64)
+            m = np.stack(part[vec].to_list()).astype(np.float64)
             return part[name].to_numpy(), m / np.linalg.norm(m, axis=1)[:, None]
 
         found = [pd.DataFrame({"a": [], "b": [], "cosine": []})]

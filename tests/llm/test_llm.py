@@ -87,7 +87,7 @@ def test_pairs_do_not_depend_on_the_size_of_a_hot_bucket(spark, size):
 def test_functions_and_tables_follow_the_number_of_vectors():
     small, large = knn.sized(knn.Hashing(), 1000), knn.sized(knn.Hashing(), 50_000_000)
     assert small == knn.Hashing() and large.functions > small.functions and large.tables > small.tables
-    assert 1 - (1 - knn.found_per_table(large)) ** large.tables >= 0.97
+    assert 1 - (1 - knn.found_per_table(large)) ** large.tables >= 0.95
 
 
 def test_many_copies_give_k_pairs_each(spark):
