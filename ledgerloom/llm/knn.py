@@ -285,7 +285,7 @@ def class_neighbours(classes: DataFrame, live: DataFrame, h: Hashing, k: int, fl
     # counted in a window, so that all uses share the exchange of the bucket rows themselves
     counted = filed.withColumn("n", F.count("class").over(Window.partitionBy("key")))
     open_buckets = counted.filter(F.col("n") <= h.bucket_rows)
-    hot = counted.filter(F.col("n") > h.bucket_rows).groupBy("key").agg(rows_counted().alias("n"))
+    hot = counted.filter(F.col("n") > h.bucket_rows).groupBy("key").agg(rows_counted().alias("n")).filter(F.col("n") > h.bucket_rows)
     there = open_buckets.select("key", F.col("class").alias("b"), F.col("sketch").alias("t"))
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("t"))) <= h.row_bits
     at_home = open_buckets.select("key", F.col("class").alias("a"), "sketch").join(there, "key").filter("a < b").filter(alike)
