@@ -22,12 +22,18 @@ BASES = {"CFS": ("CFS", "연결"), "OFS": ("OFS", "별도", "개별")}
 
 #: White space in the sense of every comparison here, Unicode included.
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+SPACES = "\t\n\x0b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def spaceless(value: Column) -> Column:
+    """Text without white space, character by character: several times as fast as a pattern."""
+    return F.translate(value, SPACES, "")
 
 
 def one_of(value: Column, spellings: dict[str, tuple[str, ...]]) -> Column:
     """The proper form of a value by a literal map, so the value is folded once."""
     proper = F.create_map(*[F.lit(x) for form, words in spellings.items() for word in words for x in (word, form)])
-    return F.try_element_at(proper, F.upper(F.regexp_replace(value, SPACE, "")))
+    return F.try_element_at(proper, F.upper(spaceless(value)))
 
 
 def report_type(value: Column) -> Column:
@@ -40,7 +46,7 @@ def basis(value: Column) -> Column:
 
 def corp_code(value: Column) -> Column:
     """Eight digits with leading zeros; null if it is no number of at most eight digits."""
-    digits = F.regexp_replace(value, SPACE, "")
+    digits = spaceless(value)
     return F.when(digits.rlike("^[0-9]{1,8}$"), F.lpad(digits, 8, "0"))
 
 
@@ -57,4 +63,4 @@ def receipt_digits(value: Column) -> Column:
 
 def folded(value: Column) -> Column:
     """Text without white space in lower case, for comparisons that ignore both."""
-    return F.lower(F.regexp_replace(value.cast("string"), SPACE, ""))
+    return F.lower(spaceless(value.cast("string")))

@@ -2,14 +2,15 @@
 
 Every table contributes *deltas*: a referring record adds +1 to the reference
 count of the key it names, a live target adds +1 to the existence count of its
-own key and carries the time it became known.  Summing the deltas per key gives
-a state that can be kept and moved forward by later deltas (``apply_deltas``).
-Keys with positive references and zero existence are the orphan report; where a
-key does exist, only the references older than its arrival by more than the
-grace period are orphans.
+own key and carries the time it became known, a withdrawn one -1.  Summing the
+deltas per key and time gives a state that can be kept and moved forward by later
+deltas (``apply_deltas``).  Keys with positive references and zero existence are
+the orphan report; where a key does exist, only the references older by more than
+the grace period than the time since when it has existed are orphans.
 
 Scale: the state is a partial (map-side) aggregation, so a key that holds a
-third of all references reaches the shuffle as one row per task.  References
+third of all references reaches the shuffle as one row per task; all its
+references are one row of the state, its targets one row a time.  References
 join the state once; a hot key in that join is one right row against many left
 rows, which AQE splits (nothing after the join needs its partitioning).  Only
 ids, keys and times are read and shuffled, never texts or vectors.
@@ -27,6 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import canonical
 
@@ -71,31 +73,45 @@ def table_deltas(df: DataFrame, part: Participant) -> DataFrame:
     return (
         once.select("record_id", "at", F.explode(F.array(*rows)).alias("d"))
         .select("d.space", "d.key", F.lit(part.name).alias("table_name"), "d.column_name", "record_id", "at", "d.refs", "d.found")
-        .filter("key IS NOT NULL AND (refs > 0 OR found > 0)")
+        .filter("key IS NOT NULL AND (refs <> 0 OR found <> 0)")
     )
 
 
 def apply_deltas(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """The state per key after ``deltas``: refs, found (signed counts) and found_at.
+    """The state after ``deltas``: signed counts refs and found per key, and of the targets per time they changed.
 
-    ``state`` is an earlier result; counts add up, so deltas may be negative
-    (a record withdrawn).
+    Columns: space, key, at (null in the row that counts the references), refs,
+    found.  ``state`` is an earlier result; counts add up in any order, so
+    deltas may be negative: a withdrawn record is -1 at the time of its withdrawal.
     """
-    parts = deltas.select(*STATE, "refs", "found", F.when(F.col("found") > 0, F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("found_at"))
+    since = F.when(F.col("found") != 0, F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz")))
+    parts = deltas.select(*STATE, since.alias("at"), "refs", "found")
     if state is not None:
-        parts = parts.unionByName(state.select(*STATE, "refs", "found", "found_at"))
-    return parts.groupBy(*STATE).agg(F.sum("refs").alias("refs"), F.sum("found").alias("found"), F.min("found_at").alias("found_at"))
+        parts = parts.unionByName(state.select(*STATE, "at", "refs", "found"))
+    return parts.groupBy(*STATE, "at").agg(F.sum("refs").alias("refs"), F.sum("found").alias("found"))
+
+
+def current(state: DataFrame) -> DataFrame:
+    """One row per key: refs, found, and found_at, since when the key has existed without a break.
+
+    A key exists while the running sum of its targets' changes is positive; a
+    withdrawal that brings it to zero ends that, and a later arrival begins anew.
+    """
+    history = Window.partitionBy(*STATE).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = state.withColumn("n", F.sum("found").over(history))
+    begins = (F.col("n") > 0) & (F.col("n") - F.col("found") <= 0)
+    return running.groupBy(*STATE).agg(F.sum("refs").alias("refs"), F.sum("found").alias("found"), F.max(F.when(begins, F.col("at"))).alias("found_at"))
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
     """The current orphan report by key: positive references, zero existence."""
-    return state.filter("refs > 0 AND found <= 0")
+    return current(state).filter("refs > 0 AND found <= 0")
 
 
 def orphan_references(deltas: DataFrame, state: DataFrame, grace: str = GRACE) -> DataFrame:
     """Referring records without a live target in time: table_name, column_name, record_id, space, key, at, reason."""
     refs = deltas.filter("refs > 0").select(*STATE, "table_name", "column_name", "record_id", "at")
-    known = state.filter("found > 0").select(*STATE, "found_at")
+    known = current(state).filter("found > 0").select(*STATE, "found_at")
     late = F.col("found_at") > F.col("at") + F.expr(grace)
     return (
         refs.join(known, STATE, "left")

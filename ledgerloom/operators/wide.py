@@ -1,13 +1,14 @@
 """Attribute-value rows into one typed row per entity.
 
-The entity-by-attribute grid is completed by exploding the attribute positions
-of every entity (a literal array as long as the definition table), the values
-are left joined, each entity's cells are collected in order of attribute
-position, and fixed indices are projected through a try cast per type.
-
-Scale: values are first reduced to one row per entity and attribute by a
-fixed-width partial aggregation (hot entities shrink before the shuffle), and
-the collected array of an entity has exactly one element per attribute.  The
+The entity-by-attribute grid is completed inside each entity: the attribute
+positions (a literal array as long as the definition table) are left joined with
+the entity's values by position, which gives its cells as an array in order of
+attribute position; fixed indices are projected through a try cast per type.
+
+Scale: one scan.  Values are first reduced to one row per entity and attribute
+by a fixed-width partial aggregation (hot entities shrink before the shuffle),
+then collected by entity, and the array of an entity has exactly one element per
+attribute, so the join of the grid needs neither a second scan nor a shuffle.  The
 definition table is metadata (one row per output column) and is read to the
 driver because the output schema depends on it; ``MAX_ATTRIBUTES`` bounds it.
 
@@ -92,10 +93,11 @@ def wide_cells(values: DataFrame, codes: list[str]) -> DataFrame:
         .select(*ENTITY, "pos", F.struct((F.col("value").isNotNull() | has_text).alias("filled"), rank.alias("rank"), F.col("value"), F.when(has_text, F.col("value_text")).alias("text")).alias("v"))
     )
     best = rows.groupBy(*ENTITY, "pos").agg(F.max("v").alias("v"))
-    grid = best.select(*ENTITY).distinct().select(*ENTITY, F.explode(F.sequence(F.lit(0), F.lit(len(codes) - 1))).alias("pos"))
-    full = grid.join(best, [*ENTITY, "pos"], "left")
-    cell = F.struct("pos", F.coalesce(F.col("v.filled"), F.lit(False)).alias("filled"), F.col("v.value").alias("value"), F.col("v.text").alias("text"))
-    return full.groupBy(*ENTITY).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    # at most one element per attribute
+    entity = best.groupBy(*ENTITY).agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("values"))
+    grid = F.sequence(F.lit(0), F.lit(len(codes) - 1))
+    cell = lambda i, v: F.struct(i.alias("pos"), F.coalesce(v["filled"], F.lit(False)).alias("filled"), v["value"].alias("value"), v["text"].alias("text"))
+    return entity.select(*ENTITY, F.transform(grid, lambda i: cell(i, F.try_element_at("values", i))).alias("cells"))
 
 
 def wide_table(values: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -64,6 +64,21 @@ def test_state_moves_forward_with_deltas(spark):
     assert integrity.orphan_keys(integrity.apply_deltas(later, state)).count() == 0
 
 
+def test_a_withdrawal_moves_the_time_since_when_a_target_exists(spark):
+    schema = "space string, key string, table_name string, column_name string, record_id string, at timestamp_ntz, refs int, found int"
+    at = lambda day: T0 + day * DAY
+    target = lambda day, n: ("filing", "1", "filings", None, "f", at(day), 0, n)
+    deltas = spark.createDataFrame([target(1, 1), target(5, -1), ("filing", "1", "chunk", "rcept_no", "c", at(10), 1, 0), target(20, 1)], schema)
+    state = integrity.apply_deltas(deltas.filter("found <> 0"))
+    state = integrity.apply_deltas(deltas.filter("refs > 0"), state)
+    assert [(r.refs, r.found, r.found_at) for r in integrity.current(state).collect()] == [(1, 1, at(20))]
+    assert [(r.record_id, r.reason) for r in integrity.orphan_references(deltas, state).collect()] == [("c", "late")]
+    # a second live target bridges the withdrawal of the first
+    bridged = integrity.apply_deltas(spark.createDataFrame([target(3, 1)], schema), state)
+    assert [r.found_at for r in integrity.current(bridged).collect()] == [at(1)]
+    assert integrity.orphan_references(deltas, bridged).count() == 0
+
+
 # p3
 
 
