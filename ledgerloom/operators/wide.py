@@ -29,22 +29,29 @@ from ledgerloom.functions import canonical
 
 ENTITY = ["corp_code", "year", "report_type", "fs_div"]
 MAX_ATTRIBUTES = 2000
+REPORTS = ("Q1", "H1", "Q3", "FY")
+BASES = ("CFS", "OFS")
+#: Room for every int as a year.
+YEARS = 1 << 32
 
 # How yes and no are written.
 YES = ("1", "Y", "YES", "TRUE", "T", "예", "네")
 NO = ("0", "N", "NO", "FALSE", "F", "아니오", "아니요")
 
 
-def canonical_metrics(values: DataFrame) -> DataFrame:
-    """The values with keys in proper spelling; ``metric_letters`` identifies the metric."""
-    return values.withColumns(
-        {
-            "corp_code": canonical.corp_code(F.col("corp_code")),
-            "report_type": canonical.report_type(F.col("report_type")),
-            "fs_div": canonical.basis(F.col("fs_div")),
-            "metric_letters": canonical.code_letters(F.col("metric_code")),
-        }
-    )
+def canonical_metrics(values: DataFrame, **more: Column) -> DataFrame:
+    """The values with keys in proper spelling, and ``more`` columns; ``metric_letters`` identifies the metric.
+
+    They are emitted by a generator of one row, as the optimizer would otherwise
+    copy the expressions into every filter on them and spell each key several times.
+    """
+    keys = {
+        "corp_code": canonical.corp_code(F.col("corp_code")),
+        "report_type": canonical.report_type(F.col("report_type")),
+        "fs_div": canonical.basis(F.col("fs_div")),
+        "metric_letters": canonical.code_letters(F.col("metric_code")),
+    } | more
+    return values.select(*(c for c in values.columns if c not in keys), F.inline(F.array(F.struct(*(c.alias(name) for name, c in keys.items())))))
 
 
 def typed(cell: Column, kind: str) -> Column:
@@ -79,25 +86,35 @@ def wide_cells(values: DataFrame, codes: list[str]) -> DataFrame:
     position = F.lit(None).cast("int")
     letters = [("".join(ch for ch in c if ch.isalnum()).upper(), i) for i, c in enumerate(codes)]
     position = F.create_map(*[x for word, i in letters for x in (F.lit(word), F.lit(i))])
+    approved = F.when(F.lower(F.trim("review_status")) == "approved", 4).otherwise(0)
     rank = F.struct(
-        F.coalesce(F.lower(F.trim("review_status")) == "approved", F.lit(False)).alias("a"),
-        F.when(F.col("source_kind") == "DIRECT", 3).when(F.col("source_kind") == "DOCUMENT_EXTRACTED", 2).otherwise(1).alias("b"),
+        (approved + F.when(F.col("source_kind") == "DIRECT", 3).when(F.col("source_kind") == "DOCUMENT_EXTRACTED", 2).otherwise(1)).alias("a"),
         F.col("loaded_at").alias("c"),
         F.col("metric_value_id").alias("d"),
     )
+    # the entity in one number, as rows are sorted by it: company and kinds above the year
+    kind = (F.array_position(F.array(*map(F.lit, REPORTS)), F.col("report_type")) - 1) * 2 + F.array_position(F.array(*map(F.lit, BASES)), F.col("fs_div")) - 1
+    packed = (F.col("corp_code").cast("bigint") * 8 + kind) * YEARS + F.col("year") + YEARS // 2
     has_text = F.coalesce(F.col("value_text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
     rows = (
-        canonical_metrics(values)
-        .withColumn("pos", F.try_element_at(position, F.col("metric_letters")))
+        canonical_metrics(values, pos=F.try_element_at(position, canonical.code_letters(F.col("metric_code"))))
         .filter(" AND ".join(f"{c} IS NOT NULL" for c in [*ENTITY, "pos"]))
-        .select(*ENTITY, "pos", F.struct((F.col("value").isNotNull() | has_text).alias("filled"), rank.alias("rank"), F.col("value"), F.when(has_text, F.col("value_text")).alias("text")).alias("v"))
+        .select(packed.alias("entity"), "pos", F.struct((F.col("value").isNotNull() | has_text).alias("filled"), rank.alias("rank"), F.col("value"), F.when(has_text, F.col("value_text")).alias("text")).alias("v"))
     )
-    best = rows.groupBy(*ENTITY, "pos").agg(F.max("v").alias("v"))
+    best = rows.groupBy("entity", "pos").agg(F.max("v").alias("v"))
     # at most one element per attribute
-    entity = best.groupBy(*ENTITY).agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("values"))
+    entity = best.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("values"))
     grid = F.sequence(F.lit(0), F.lit(len(codes) - 1))
     cell = lambda i, v: F.struct(i.alias("pos"), F.coalesce(v["filled"], F.lit(False)).alias("filled"), v["value"].alias("value"), v["text"].alias("text"))
-    return entity.select(*ENTITY, F.transform(grid, lambda i: cell(i, F.try_element_at("values", i))).alias("cells"))
+    head = F.floor(F.col("entity") / YEARS)
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    keys = [
+        F.lpad(F.floor(head / 8).cast("string"), 8, "0").alias("corp_code"),
+        (F.pmod("entity", F.lit(YEARS)) - YEARS // 2).cast("int").alias("year"),
+        pick(REPORTS, F.floor(F.pmod(head, F.lit(8)) / 2)).alias("report_type"),
+        pick(BASES, F.pmod(head, F.lit(2))).alias("fs_div"),
+    ]
+    return entity.select(*keys, F.transform(grid, lambda i: cell(i, F.try_element_at("values", i))).alias("cells"))
 
 
 def wide_table(values: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_common_units(spark: SparkSession, sf: str) -> DataFrame:
-    return units.normalize_units(table(spark, sf, "financial_metric_values"), table(spark, sf, "metric_definitions")).drop("scaled")
+    definitions = table(spark, sf, "metric_definitions")
+    return units.one_per_record(units.normalize_units(table(spark, sf, "financial_metric_values"), definitions), definitions).drop("scaled")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

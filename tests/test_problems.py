@@ -1,12 +1,16 @@
 """The general problems against hand-made cases and brute force."""
 
 import datetime as dt
+import os
 import re
 from html.parser import HTMLParser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import integrity, nested, snapshots, units, wide
 
 T0 = dt.datetime(2024, 1, 1)
@@ -192,8 +196,10 @@ def test_units_stated_anywhere_and_pairs(spark):
     ]
     v, d = frames(spark, data)
     n = units.normalize_units(v, d)
-    by_id = {r.metric_value_id: r for r in n.collect()}
-    assert len(by_id) == n.count() == 10
+    once = units.one_per_record(n, d)
+    by_id = {r.metric_value_id: r for r in once.collect()}
+    assert len(by_id) == once.count() == 10
+    assert (by_id[8].corp_code, by_id[8].year, by_id[8].report_type, by_id[8].metric_letters, by_id[8].fs_div) == (*[getattr(by_id[9], c) for c in ("corp_code", "year", "report_type")], "FLOORAREA", by_id[9].fs_div)
     assert by_id[1].common_value == 1234567000 and by_id[2].common_value == 1235000000 and by_id[3].common_value == 1234567890
     assert by_id[4].status == "unconvertible" and by_id[5].status == "no_value" and by_id[6].unit_source == "decoded"
     # 100 pyeong is 330.58 square metres: within 3.31 of 331, not of 334
@@ -221,6 +227,37 @@ def test_units_viterbi_decodes_switches(spark):
     assert {i: sizes[i] // 121 for i in range(12)} == {i: 1 if i % 3 else 10**6 for i in range(12)}
 
 
+def test_the_model_overrules_a_stated_unit_that_the_level_contradicts(spark):
+    steady = [value(i, v=5_000_000 + 1000 * i, unit="천원", year=2010 + i) for i in range(9)]
+    # stated as millions, but the value is the neighbours' in thousands; the third record states the same in millions
+    wrong = [value(20, v=5_020_000, unit="백만원", year=2019), value(21, v=5020, unit="백만원", year=2019), value(22, v=5_020_000, unit="천원", year=2019)]
+    after = [value(30 + i, v=5_030_000 + 1000 * i, unit="천원", year=2020 + i) for i in range(5)]
+    v, d = frames(spark, steady + wrong + after)
+    n = units.normalize_units(v, d)
+    assert {r.metric_value_id: (r.unit_source, r.size // 121) for r in n.collect()}[20] == ("corrected", 1000)
+    # without the model the stated sizes stand, and record 20 is in no pair
+    stated = n.withColumns({"size": F.col("pin"), "scaled": (F.col("value").cast("decimal(19,0)") * F.col("pin").cast("decimal(18,0)"))})
+    assert rows(units.same_quantity(n)) == [(20, 21), (21, 22)] != rows(units.same_quantity(stated)) == [(21, 22)]
+
+
+def test_hidden_units_are_decoded(spark):
+    """The units of a fifth of the records that state one are hidden and decoded again."""
+    base = "/root/testdata/sf0.01/"
+    if not os.path.exists(base):
+        pytest.skip("no test data")
+    v, d = spark.read.parquet(base + "financial_metric_values.parquet"), spark.read.parquet(base + "metric_definitions.parquet")
+    told = units.stated_values(v, units.metric_positions(d)).filter("pin > 0 AND value <> 0 AND device IS NOT NULL").select("metric_value_id", "common", "pin").collect()
+    hidden = {r.metric_value_id: (r.common, r.pin) for r in told if r.metric_value_id % 5 == 0}
+    blank = {c: F.when(F.col("metric_value_id") % 5 != 0, F.col(c)) for c in ("unit", "source_account_name", "calculation_method", "source_values")}
+    got = {r.metric_value_id: (r.size, r.unit_source) for r in units.normalize_units(v.withColumns(blank), d).collect()}
+    right: dict = {}
+    for i, (common, size) in hidden.items():
+        assert got[i][1] == "decoded"
+        right.setdefault(list(units.UNITS)[common], []).append(got[i][0] == size)
+    print({common: (round(sum(x) / len(x), 3), len(x)) for common, x in right.items()})
+    assert min(sum(x) / len(x) for x in right.values()) > 0.85 and sum(map(sum, right.values())) > 0.93 * len(hidden) > 400
+
+
 def test_wide_table_types_and_filled(spark):
     data = [
         value(1, v=5), value(2, "revenue ", v=6, kind="ANNUAL", corp=" 00000001"), value(3, "CLOSING_DATE", text="2024년 3월 1일"), value(4, "closing-date", text="20240301", kind="Q1"),
