@@ -4,9 +4,9 @@ Heavy-light aggregation.  A first pass finds the terms that make up much of the
 collection with a bounded sketch over all rows; they are broadcast (at most
 ``HEAVY`` terms, whatever the collection's size).  In the second pass every task
 counts the heavy terms in exact local arrays, one number per term, and combines
-the others in a local table that is handed on when it is full; only the light
-counts are shuffled by term, the heavy arrays are added up apart, and the two
-count tables are united.  The sketch only decides where a term is counted:
+the others in a local table that is handed on when it is full.  The light counts
+are shuffled by term, of the heavy arrays one number a term and task is; both are
+added up in tables of their own, and the two tables are united.  The sketch only decides where a term is counted:
 every count is exact.
 
 Terms of a record are counted where the record stands, so a record's text is
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY = 2048
@@ -86,9 +86,10 @@ def heavy_terms(records: DataFrame, splitters: dict[str, Callable[[str], list[st
 
 
 def term_counts(records: DataFrame, raw: DataFrame, splitters: dict[str, Callable[[str], list[str]]] = SPLITTERS, heavy: int = HEAVY, light_table: int = LIGHT_TABLE) -> DataFrame:
-    """(field_name, term, occurrences, records) of every term; the null term of a field counts its non-empty records.
+    """(field_name, term, occurrences, records, total) of every term; the null term of a field (total true) counts its non-empty records.
 
-    ``raw`` holds the fields before deliveries are merged; heavy terms are found in it.
+    ``raw`` holds the fields before deliveries are merged; heavy terms are found
+    in it, by a job that runs while the plan is built.
     """
     hot = records.sparkSession.sparkContext.broadcast(heavy_terms(raw, splitters, heavy))
 
@@ -131,13 +132,20 @@ def term_counts(records: DataFrame, raw: DataFrame, splitters: dict[str, Callabl
         yield part([names[i] for i in at], occurrences[at].tolist(), records_of[at].tolist(), True)
 
     counted = records.mapInPandas(count, "field_name string, term string, occurrences bigint, records bigint, heavy boolean")
-    # one exchange serves both: a heavy term is one row per task there, a light one is spread by its hash
-    return counted.groupBy("field_name", "term", "heavy").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).drop("heavy")
+    # One exchange serves both tables, a heavy term being one row per task in it.  Whether a term
+    # is heavy is asked after the sums, so that nothing is pushed below the exchange and the texts are read once.
+    met = counted.repartition("field_name", "term")
+
+    def table(of_kind: Column) -> DataFrame:
+        sums = [F.sum(F.when(of_kind, F.col(c))).alias(c) for c in ("occurrences", "records")]
+        return met.groupBy("field_name", "term").agg(*sums, F.bool_or(F.col("term").isNull()).alias("total")).filter("records IS NOT NULL")
+
+    return table(F.col("heavy")).unionByName(table(~F.col("heavy")))
 
 
 def marked(counts: DataFrame, min_records: int = 3, max_share: float = 0.3) -> DataFrame:
     """The terms with their mark; the totals are one row per field and joined by broadcast."""
-    totals = counts.filter("term IS NULL").select("field_name", F.col("records").alias("filled"))
+    totals = counts.groupBy("field_name").agg(F.max(F.when(F.col("total"), F.col("records"))).alias("filled"))
     share = F.col("records") > F.lit(max_share) * F.col("filled")
     mark = F.when(F.col("records") < min_records, "rare").when(share, "common")
-    return counts.filter("term IS NOT NULL").join(F.broadcast(totals), "field_name").select("field_name", "term", "occurrences", "records", mark.alias("mark"))
+    return counts.filter("NOT total").join(F.broadcast(totals), "field_name").select("field_name", "term", "occurrences", "records", mark.alias("mark"))
