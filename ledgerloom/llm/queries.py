@@ -42,7 +42,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), templates=False).filter("kind = 'verbatim'").select("doc_id", "item_id")
+    return leakage.verbatim_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -239,6 +239,26 @@ def test_reparameterised_question_is_reported_with_consistent_names_only(spark):
     assert kinds.get((1, 0)) == "reparameterised" and (2, 0) not in kinds
 
 
+def test_runs_of_digits_are_found_without_template_windows(spark):
+    digits = "".join(random.Random(2).choices("0123456789", k=70))
+    items = [f"표본 {digits} 끝", "1" * 60, f"{digits[:20]} 년 {digits[20:60]} 회 반복"]
+    docs = [f"머리 {digits[5:58]} 꼬리", digits[5:50], "3" * 80, f"값 {'1' * 55}", f"{digits[2:20]}년{digits[20:60]}회 반복", f"가나다 {digits[:20]} 년 {digits[20:52]}"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    expected = {(i, j) for i, a in enumerate(docs) for j, b in enumerate(items) if shared_run(leakage.stream(a), leakage.stream(b))}
+    assert {(r.doc_id, r.item_id) for r in leakage.verbatim_leaks(d, e).collect()} == expected and len(expected) == 4
+
+
+def test_only_templates_find_changed_numbers(spark, monkeypatch):
+    sentence = "표에 나온 값을 {}단계 기준으로 환산한 뒤 {}지점과 비교하면 항목은 몇 단계 차이가 나는지 {}.{}를 써서 답하라."
+    e = spark.createDataFrame([(1, sentence.format(12, 345, 6, 78))], "item_id bigint, text string")
+    d = spark.createDataFrame([(7, sentence.format(9, 1, 777, 5))], "doc_id bigint, text string")
+    assert [(r.doc_id, r.kind) for r in leakage.leaks(d, e).collect()] == [(7, "reparameterised")]
+    monkeypatch.setattr(leakage, "template", lambda text: text)
+    monkeypatch.setattr(leakage, "places", lambda text: np.arange(len(text) + 1))
+    assert leakage.leaks(d, e).count() == 0
+
+
 # p10
 
 KOREAN = ["당사는 금리 상승 대응 및 공급망 실사를 점검합니다.", "리스부채의 장부금액은 {}백만원이며 유동 항목은 약 {}억원입니다.", "종업원 수는 {}명이며 평균 근속연수는 {}년입니다.", "감가상각은 정액법을 적용하며 설비의 내용연수는 {}년입니다.", "주요 고객에 대한 매출 비중은 전체의 {}%를 차지하고 있습니다."]
