@@ -254,9 +254,9 @@ def sentence_templates(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """One bit a hash (column h), 16 bits room for each up to ``2 ** MAX_BITS``; built in tasks, read to the driver when the plan is built."""
+    """One bit a hash (column h), 512 bits room for each up to ``2 ** MAX_BITS``; built in tasks, read to the driver when the plan is built."""
     n = max(1, hashes.distinct().count())
-    bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(16 * n)))))
+    bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(512 * n)))))
     place = F.shiftrightunsigned("h", 64 - bits)
     words = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))")).alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)

@@ -251,9 +251,9 @@ def test_runs_of_digits_are_found_without_template_windows(spark):
 
 def test_only_templates_find_changed_numbers(spark, monkeypatch):
     sentence = "표에 나온 값을 {}단계 기준으로 환산한 뒤 {}지점과 비교하면 항목은 몇 단계 차이가 나는지 {}.{}를 써서 답하라."
-    e = spark.createDataFrame([(1, sentence.format(12, 345, 6, 78))], "item_id bigint, text string")
+    e = spark.createDataFrame([(i, sentence.format(12 * i, 345, 6 * i, 78)) for i in (1, 2, 3)], "item_id bigint, text string")
     d = spark.createDataFrame([(7, sentence.format(9, 1, 777, 5))], "doc_id bigint, text string")
-    assert [(r.doc_id, r.kind) for r in leakage.leaks(d, e).collect()] == [(7, "reparameterised")]
+    assert [(r.doc_id, r.item_id, r.kind, r.items) for r in leakage.leaks(d, e).collect()] == [(7, 1, "reparameterised", 3)]
     monkeypatch.setattr(leakage, "template", lambda text: text)
     monkeypatch.setattr(leakage, "places", lambda text: np.arange(len(text) + 1))
     assert leakage.leaks(d, e).count() == 0
