@@ -2,18 +2,24 @@
 
 A smoothed character bigram model is trained on the clean records of the whole
 collection.  Clean are the records in which no wrong decoding could have
-produced anything.  For every run of characters that some wrong decoding could
-have produced, every candidate encode-decode chain that applies is scored by the
-model in its context; the likeliest is accepted if its characters are known to
-the model and it beats the text as it stands by more than a margin per
-character, which is validated on clean records of the training garbled on purpose.
-
-Scale: counting is one pass with local arrays, merged by one small shuffle; the
-model is a table of ``BUCKETS`` hashed bigrams and the 65,536 characters, so
-what is collected and broadcast has the same size for any collection.  Margin
-validation uses a bounded sample (``VALIDATION_ROWS`` records, whichever come
-first, so copies may fill it and another run may differ; the model has counted
-them too), the only sampled step.  Repair is one narrow pass over whole texts.
+produced anything (runs of Hangul alone are taken as clean there).  For every run
+of characters that some wrong decoding could have produced, every candidate
+encode-decode chain that applies, of one step or of two with any codecs, is scored
+by the model in its context; the likeliest is accepted if its characters are
+known to the model and it beats the text as it stands by more than a margin per
+character.
+
+The margin is validated on records that the model it is measured with has not
+counted: those chosen by a hash of their text (one in ``HELD_OUT``), all of them,
+garbled on purpose.  Right repairs give one histogram of gains, the best of the
+wrong repairs of the same texts another, and the margin lies between them.  Both
+depend on the set of texts only, not on their order or partitioning.
+
+Scale: counting is one pass with local arrays, merged by one small shuffle;
+models are tables of ``BUCKETS`` hashed bigrams and 65,536 characters, histograms
+have fixed bins, so what is collected and broadcast has the same size for any
+collection.  Repair is one narrow pass over whole texts.  Training and validation
+are jobs that run while the plan is built.
 
 Defined results: null and empty texts are no case; lost characters (U+FFFD,
 C1 controls, runs of question marks in the place of words) are a case that
@@ -24,18 +30,26 @@ and the status is ``partial``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 20
-VALIDATION_ROWS = 2000
-#: Bounds of the margin, in nats a restored character; share of its characters the model must know.
-MARGIN_FLOOR, MARGIN_CEILING = 6.0, 10.0
+#: One text in so many is held out for validation.
+HELD_OUT = 16
+#: Margin, in nats a restored character, of a collection without a text to validate it on.
+MARGIN = 8.0
+#: Bins of the histograms of gains, in nats a character.
+LOWEST, STEP, BINS = -20.0, 0.1, 600
+#: Shares of right repairs that may fall below the margin and of wrong ones that may lie above it.
+MISSED, FALSE = 0.01, 0.001
+#: Share of a repair's characters the model must know.
 KNOWN_SHARE = 0.8
 LAMBDA = 0.85
 
@@ -122,11 +136,28 @@ def sub_runs(run: str, wrong: str, memo: dict[tuple[str, str], bool]) -> Iterato
         yield start, len(run)
 
 
+def _undoable_hangul() -> str:
+    """Hangul syllables whose CP949 bytes are one UTF-8 character."""
+    found = []
+    for lead in range(0xC2, 0xE0):
+        for trail in range(0x80, 0xC0):
+            try:
+                ch = bytes([lead, trail]).decode("cp949")
+            except UnicodeDecodeError:
+                continue
+            if "가" <= ch <= "힣":
+                found.append(ch)
+    return "".join(found)
+
+
 #: Runs with something else than Hangul syllables in them.
 SUSPECT_RUN = re.compile(r"(?<![^\x00-\x7f])[가-힣]*+[^\x00-\x7f가-힣][^\x00-\x7f]*")
+#: Runs of Hangul alone that a chain can undo: CP949 is the only wrong codec that makes Hangul, and each syllable must be one character of it.
+HANGUL_RUN = re.compile(r"(?<![^\x00-\x7f])[" + _undoable_hangul() + r"]{2,}+(?![^\x00-\x7f])")
+CHAINS = [(wrong, true) for wrong in (*SINGLE, *MULTI) for true in TRUE if wrong != true]
 
 
-def candidates(text: str, memo: dict[tuple[str, str], bool]) -> list[tuple[int, int, str, str]]:
+def candidates(text: str, memo: dict[tuple[str, str], bool], hangul: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, replacement, chain) of every run that a chain can undo."""
     found = []
     for m in SUSPECT_RUN.finditer(text):
@@ -146,14 +177,16 @@ def candidates(text: str, memo: dict[tuple[str, str], bool]) -> list[tuple[int,
                         continue
                     at = (m.start() + start, m.start() + end)
                     found.append((*at, fixed, f"{wrong}>{true}"))
-                    again = repeat(fixed, wrong, true)
-                    if again is not None:
-                        found.append((*at, again, f"{wrong}>{true} twice"))
+                    found += [(*at, again, f"{wrong}>{true} {w}>{t}") for w, t in CHAINS if (again := repeat(fixed, w, t)) is not None]
+    for m in HANGUL_RUN.finditer(text) if hangul else ():
+        fixed = undo(m[0], "cp949", "utf-8")
+        if fixed is not None:
+            found.append((m.start(), m.end(), fixed, "cp949>utf-8"))
     return found
 
 
 def repeat(text: str, wrong: str, true: str) -> str | None:
-    """The same chain applied to the non-ASCII runs of its own result; null if it does not apply throughout."""
+    """A second chain applied to the non-ASCII runs of a first one's result; null if it does not apply throughout."""
     if text.isascii():
         return None
     parts = []
@@ -209,28 +242,30 @@ class Model:
 
 def spotless(text: str, memo: dict[tuple[str, str], bool]) -> bool:
     """Nothing lost and nothing that a chain could undo: a record to train on."""
-    return text.isascii() and not QUESTION_RUN.search(text) or not (LOST.search(text) or QUESTION_RUN.search(text) or candidates(text, memo))
+    return text.isascii() and not QUESTION_RUN.search(text) or not (LOST.search(text) or QUESTION_RUN.search(text) or candidates(text, memo, hangul=False))
 
 
-def train(texts: DataFrame) -> Model:
-    """The model of the clean records among ``texts`` (one column, text): counts over all of them."""
+def train(texts: DataFrame) -> tuple[Model, Model]:
+    """The models of the clean records among ``texts`` (text, held): of all of them, and of those that are not held out."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unigrams = np.zeros(65536, dtype=np.int64)
-        bigrams = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros((2, 65536 + BUCKETS), dtype=np.int64)
         memo: dict[tuple[str, str], bool] = {}
         for pdf in frames:
-            # counted a batch at a time, line ends between the texts
-            c = char_codes("\n".join(["", *(t for t in pdf["text"] if t and spotless(t, memo)), ""]))
-            unigrams += np.bincount(c, minlength=65536)
-            bigrams += np.bincount(bigram_bucket(c[:-1], c[1:]), minlength=BUCKETS)
-        one, two = np.nonzero(unigrams)[0], np.nonzero(bigrams)[0]
-        yield pd.DataFrame({"i": np.concatenate([one, two + 65536]), "n": np.concatenate([unigrams[one], bigrams[two]])})
-
-    total = texts.mapInPandas(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(65536 + BUCKETS)
-    flat[total["i"].to_numpy(dtype=np.int64)] = total["n"].to_numpy(dtype=np.float64)
-    return Model(flat[:65536], flat[65536:])
+            for held in (False, True):
+                # counted a batch at a time, line ends between the texts
+                c = char_codes("\n".join(["", *(t for t in pdf["text"][pdf["held"] == held] if t and spotless(t, memo)), ""]))
+                counts[int(held), :65536] += np.bincount(c, minlength=65536)
+                counts[int(held), 65536:] += np.bincount(bigram_bucket(c[:-1], c[1:]), minlength=BUCKETS)
+        for held in (False, True):
+            at = np.nonzero(counts[int(held)])[0]
+            yield pd.DataFrame({"held": held, "i": at, "n": counts[int(held)][at]})
+
+    total = texts.mapInPandas(count, "held boolean, i int, n bigint").groupBy("held", "i").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros((2, 65536 + BUCKETS))
+    flat[total["held"].to_numpy(dtype=np.int64), total["i"].to_numpy(dtype=np.int64)] = total["n"].to_numpy(dtype=np.float64)
+    every = flat.sum(0)
+    return Model(every[:65536], every[65536:]), Model(flat[0, :65536], flat[0, 65536:])
 
 
 def best_repairs(text: str, model: Model, margin: float, memo: dict[tuple[str, str], bool]) -> list[tuple[int, int, str, str, float]]:
@@ -245,7 +280,7 @@ def best_repairs(text: str, model: Model, margin: float, memo: dict[tuple[str, s
 
 def followers(text: str, model: Model, taken: list[tuple[int, int, str, str, float]], memo: dict[tuple[str, str], bool]) -> list[tuple[int, int, str, str, float]]:
     """What the chains accepted in a text undo elsewhere in it: too short to be accepted alone, any gain will do."""
-    chains = dict.fromkeys(c for *_, c, _ in sorted(taken, key=lambda t: -t[4]) if not c.endswith(" twice"))
+    chains = dict.fromkeys(c for *_, c, _ in sorted(taken, key=lambda t: -t[4]) if " " not in c)
     more: list[tuple[int, int, str, str, float]] = []
     for chain in chains:
         wrong, true = chain.split(">")
@@ -284,36 +319,81 @@ def repair(text: str | None, model: Model, margin: float, memo: dict[tuple[str,
 GARBLERS: tuple[tuple[str, str], ...] = (("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("cp949", "latin-1"), ("cp949", "gbk"))
 
 
-def validated_margin(model: Model, clean: list[str]) -> float:
-    """A margin per character well below the gains on clean records garbled on purpose; they need not be held out."""
-    gains = []
-    for n, text in enumerate(clean):
-        right, wrong = GARBLERS[n % len(GARBLERS)]
-        words = [w for w in HIGH_RUN.findall(text) if len(w) >= 2]
-        if not words:
-            continue
-        word = words[n % len(words)]
-        try:
-            garbled = word.encode(right).decode(wrong)
-        except UnicodeError:
-            continue
-        at = text.index(word)
-        gain = model.gain(text[:at] + garbled + text[at + len(word) :], at, at + len(garbled), word)
-        if np.isfinite(gain):
-            gains.append(gain / len(word))
-    return float(np.clip(0.6 * np.quantile(gains, 0.02), MARGIN_FLOOR, MARGIN_CEILING)) if gains else MARGIN_FLOOR
+def gains_of(text: str, model: Model, memo: dict[tuple[str, str], bool]) -> tuple[float, float] | None:
+    """The gains a character of the right repair and of the best wrong one of a clean text with a word garbled on purpose.
+
+    Word and garbling follow from the text; none if it has no word to garble so.
+    """
+    words = [w for w in HIGH_RUN.findall(text) if len(w) >= 2]
+    if not words:
+        return None
+    pick = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    right, wrong = GARBLERS[pick % len(GARBLERS)]
+    word = words[pick // len(GARBLERS) % len(words)]
+    try:
+        garbled = word.encode(right).decode(wrong)
+    except UnicodeError:
+        return None
+    at = text.index(word)
+    spoilt = text[:at] + garbled + text[at + len(word) :]
+    # wrong are those that share no character with the word: others restore a part of it; and all that the clean text itself offers
+    worst = [model.gain(spoilt, s, e, r) / len(r) for s, e, r, _ in candidates(spoilt, memo) if not set(r) & set(word)]
+    worst += [model.gain(text, s, e, r) / len(r) for s, e, r, _ in candidates(text, memo)]
+    return model.gain(spoilt, at, at + len(garbled), word) / len(word), max(worst, default=-np.inf)
+
+
+def validate(texts: DataFrame, shared: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms of the gains of right and of wrong repairs over the clean ones of ``texts`` (column text)."""
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(*shared.value)
+        memo: dict[tuple[str, str], bool] = {}
+        bins = np.zeros((2, BINS), dtype=np.int64)
+        for pdf in frames:
+            for text in pdf["text"]:
+                found = gains_of(text, model, memo) if text and not text.isascii() and spotless(text, memo) else None
+                for kind, gain in enumerate(found or ()):
+                    bins[kind, int(np.clip((gain - LOWEST) / STEP, 0, BINS - 1)) if np.isfinite(gain) else 0] += 1
+        kind, at = np.nonzero(bins)
+        yield pd.DataFrame({"kind": kind, "i": at, "n": bins[kind, at]})
+
+    total = texts.mapInPandas(measure, "kind int, i int, n bigint").groupBy("kind", "i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, BINS))
+    out[total["kind"].to_numpy(dtype=np.int64), total["i"].to_numpy(dtype=np.int64)] = total["n"].to_numpy(dtype=np.float64)
+    return out[0], out[1]
+
+
+def margin_between(right: np.ndarray, wrong: np.ndarray) -> float:
+    """The middle between the gain that all but MISSED of the right repairs reach and the one that all but FALSE of the wrong ones stay below."""
+    if not right.sum():
+        return MARGIN
+    edge = lambda i: LOWEST + STEP * i
+    reached = edge(int(np.searchsorted(np.cumsum(right), MISSED * right.sum(), "right")))
+    below = edge(int(np.searchsorted(np.cumsum(wrong), (1 - FALSE) * wrong.sum())) + 1) if wrong.sum() else 0.0
+    return (reached + max(below, 0.0)) / 2
+
+
+def error_rates(right: np.ndarray, wrong: np.ndarray, margin: float) -> tuple[float, float]:
+    """Shares of the right repairs below the margin and of the wrong ones above it."""
+    at = int(np.floor((margin - LOWEST) / STEP))
+    return float(right[:at].sum() / max(right.sum(), 1)), float(wrong[at + 1 :].sum() / max(wrong.sum(), 1))
+
+
+def fitted(documents: DataFrame, text_column: str = "text") -> tuple[Model, float, tuple[float, float]]:
+    """The model of all clean texts, the validated margin and its error rates."""
+    text = F.col(text_column)
+    texts = documents.select(text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0).alias("held")).filter("text IS NOT NULL AND text <> ''")
+    model, partial = train(texts)
+    shared = documents.sparkSession.sparkContext.broadcast((partial.unigrams, partial.bigrams))
+    right, wrong = validate(texts.filter("held").select("text"), shared)
+    margin = margin_between(right, wrong)
+    return model, margin, error_rates(right, wrong, margin)
 
 
 def find_garbled(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, status, chains, restored) of every record with garbled text."""
-    spark = documents.sparkSession
-    texts = documents.select(F.col(text_column).alias("text")).filter("text IS NOT NULL AND text <> ''")
-    model = train(texts)
-    sample = texts.filter(~F.col("text").rlike("[\\x{FFFD}\\x{80}-\\x{9f}]") & F.col("text").rlike("[^\\x00-\\x7f]")).limit(VALIDATION_ROWS)
-    memo: dict[tuple[str, str], bool] = {}
-    checked = [r.text for r in sample.collect() if spotless(r.text, memo)]
-    margin = validated_margin(model, checked)
-    shared = spark.sparkContext.broadcast((model.unigrams, model.bigrams, margin))
+    model, margin, _ = fitted(documents, text_column)
+    shared = documents.sparkSession.sparkContext.broadcast((model.unigrams, model.bigrams, margin))
     id_type = documents.schema[id_column].dataType.simpleString()
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -293,3 +293,23 @@ def test_garbled_texts_are_found_and_restored(spark):
 
 def test_garbled_on_empty_input(spark):
     assert mojibake.find_garbled(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_margin_follows_the_texts_and_not_their_order(spark):
+    rng = random.Random(4)
+    words = "매출액 영업이익 당기순이익 종업원 설비 투자 자산 부채 자본 계약 공급 생산 판매".split()
+    rows = [(i, " ".join(rng.choices(words, k=12))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fits = [mojibake.fitted(x) for x in (df.repartition(1), df.repartition(5), df.orderBy("text"))]
+    assert len({(margin, rates) for _, margin, rates in fits}) == 1 and fits[0][1] > 0 and max(fits[0][2]) <= 0.02
+
+
+def test_chains_of_two_codecs_and_hangul_alone(spark):
+    rng = random.Random(4)
+    words = "매출액 영업이익 당기순이익 종업원 설비 투자 자산 부채 자본 계약 공급 생산 판매".split()
+    clean = [" ".join(rng.choices(words, k=12)) for _ in range(300)]
+    twice = "당기순이익".encode().decode("latin-1").encode().decode("mac_roman")
+    df = spark.createDataFrame([*enumerate(clean), (1000, f"{clean[0]} {twice} {clean[1]}")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.restored) for r in mojibake.find_garbled(df).collect()} == {(1000, f"{clean[0]} 당기순이익 {clean[1]}")}
+    hangul = "éü".encode().decode("cp949")
+    assert re.fullmatch("[가-힣]+", hangul) and [c[2:] for c in mojibake.candidates(f"a {hangul} b", {})] == [("éü", "cp949>utf-8")]
