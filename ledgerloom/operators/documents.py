@@ -357,14 +357,26 @@ def dedupe_text(rows: DataFrame, scope: list[str], text: str, key: str) -> DataF
     return j.withColumn("sent", F.col(key) == F.col("same_as")).drop("_h", "_m")
 
 
-# Failure classes by code or word, first match wins.
-FAILURES = (("quota", "429|quota|rate limit"), ("auth", "401|403|api key|permission"), ("timeout", "timeout|timed out|504"), ("server", "50[0-3]|unavailable|internal"), ("invalid", "schema|json|parse|invalid"))
+# Failure classes in their order of precedence, by status code and by words; anything else is want of evidence.
+FAILURES = (
+    ("configuration", (401, 403, 404), ("인증", "권한", "api key", "안전 예산", "단일 요청 입력")),
+    ("rate_limit", (429,), ("할당량", "사용량 제한", "rate limit")),
+    ("unavailable", (408, 500, 502, 503, 504, 800), ("네트워크", "연결 실패", "timeout")),
+    ("verification", (), ("검증", "json", "근거 id", "응답")),
+)
+STATUS = r"(?:http\s*(?:error\s*)?|상태\s*코드\s*[:：]?\s*)([0-9]{3})\b"
 
 
 def failure_class(reason: Column) -> Column:
-    chain = F.lit("other")
-    for name, pattern in reversed(FAILURES):
-        chain = F.when(F.lower(reason).rlike(pattern), name).otherwise(chain)
+    """The class of a failure's text; null for null."""
+    low = F.lower(reason)
+    code = F.nullif(F.regexp_extract(low, STATUS, 1), F.lit("")).cast("int")
+    chain = F.lit("insufficient_evidence")
+    for name, codes, words in reversed(FAILURES):
+        told = F.coalesce(code.isin(*codes), F.lit(False)) if codes else F.lit(False)
+        for word in words:
+            told = told | low.contains(word)
+        chain = F.when(told, name).otherwise(chain)
     return F.when(reason.isNotNull(), chain)
 
 

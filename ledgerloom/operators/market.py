@@ -55,11 +55,11 @@ def cap_text(text: Column) -> Column:
 
 
 # Filing categories and the words that tell them, first match wins.
-CATEGORIES = (("정기", "사업보고서|반기보고서|분기보고서"), ("정정", "정정"), ("지분", "주식등의대량보유|임원ㆍ주요주주"), ("자본", "유상증자|무상증자|전환사채|신주인수권"), ("계약", "단일판매|공급계약"))
+CATEGORIES = (("설비·생산", "시설|설비|공장|생산"), ("공급·계약", "공급|계약"), ("연구·제품", "연구|개발|특허"), ("정기보고", "사업보고서|반기보고서|분기보고서"), ("실적", "영업.*실적|잠정|손익"))
 
 
 def filing_category(title: Column) -> Column:
-    chain = F.lit("기타")
+    chain = F.lit("기타 공시")
     for name, pattern in reversed(CATEGORIES):
         chain = F.when(title.rlike(pattern), name).otherwise(chain)
     return F.when(title.isNotNull(), chain)

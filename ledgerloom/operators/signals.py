@@ -50,32 +50,50 @@ class Vocabulary:
     context_required: frozenset[str] = frozenset()
 
 
-# Noise classes by pattern; all but the last are dropped, the last is penalised.
+# Noise classes by pattern, first match wins.
 NOISE = (
-    ("number", r"^[0-9.,%]+$"),
-    ("unit", r"^(?:백만원|천원|억원|원|톤|명|개|건|%)$"),
-    ("date", r"^(?:[0-9]{4}년|[0-9]{1,2}월|[0-9]{1,2}일|상반기|하반기|분기|전년|당기|전기)$"),
-    ("grammar", r"^(?:있습니다|합니다|입니다|하였습니다|됩니다|및|등|약|또는|위하여|대한|관련)$"),
-    ("structure", r"^(?:사항|내용|개요|기타|구분|합계|주석|단위|목차)$"),
-    ("legal", r"^(?:주식회사|당사|회사|이사회|주주총회|감사)$"),
-    ("generic", r"^(?:사업|매출|시장|제품|수요|생산|투자|공급)$"),
+    ("통화/환율", r"^(?:USD|JPY|KRW|EUR|CNY|GBP|CHF|CAD|AUD|HKD|SGD)$|(?:환율|환산|외화|원화|통화위험)"),
+    ("기간 비교", r"(?:전년|전기|전분기|전월|당기|동기|전년도|기간 대비)"),
+    ("홍보·수식", r"(?:업계 최초|세계 최초|국내 최초|최고 수준|업계 최고|경쟁 우위)"),
+    ("회계·보고서 관용", r"(?:재고 자산|매출액|재무|회계|충당금|감가상각|장부가액|보고기간)"),
+    ("공시 메타", r"(?:기업\s*공시|공시)\s*서식|서식\s*(?:작성|기준)|기재\s*(?:예정|생략)|(?:분\s*[ㆍ·ᆞ]\s*반기|분반기)|분석\s*의견"),
+    ("특허 법률 문구", r"(?i)\b(?:comprising|thereof|wherein)\b|\b(?:inhibitors?|compositions?)\s+and\s+methods?\b"),
+    ("문서성 표현", r"^(?:기존\s*대비|기저\s*효과)$|^[가-힣]+(?:특별시|광역시|특별자치시|특별자치도|도|시|군|구)\s*소재$"),
+    ("일반 경영", r"(?:부가 가치|자금 조달|수주 상황|경영 전략|사업 계획)"),
 )
+# Classes that are dropped, and the one that costs points; what is in neither stays.
+DROPPED = ("통화/환율", "기간 비교", "회계·보고서 관용", "공시 메타", "특허 법률 문구", "문서성 표현")
+PENALISED = {"일반 경영": 2.0}
 
+#: Words that are no candidates whatever their class: numbers, dates and words of grammar.
+NO_WORD = re.compile(r"^(?:[0-9.,%]+|[0-9]{4}년|[0-9]{1,2}[월일]|있습니다|합니다|입니다|하였습니다|됩니다|및|등|약|또는|위하여|대한|관련)$")
 
-def noise_class(keyword: Column) -> Column:
+
+def noise_class(keyword: Column, classes: tuple[tuple[str, str], ...] = NOISE) -> Column:
     chain = F.lit(None).cast("string")
-    for name, pattern in reversed(NOISE):
+    for name, pattern in reversed(classes):
         chain = F.when(keyword.rlike(pattern), name).otherwise(chain)
     return chain
 
 
+def is_dropped(noise: Column) -> Column:
+    return F.coalesce(noise.isin(*DROPPED), F.lit(False))
+
+
+def noise_penalty(noise: Column) -> Column:
+    chain = F.lit(0.0)
+    for name, points in PENALISED.items():
+        chain = F.when(noise == name, points).otherwise(chain)
+    return chain
+
+
 def canonical_keyword(value: str, v: Vocabulary) -> str:
     folded = " ".join(unicodedata.normalize("NFKC", value).split())
     return v.aliases.get(folded.casefold(), folded)
 
 
 def is_candidate(word: str, v: Vocabulary) -> bool:
-    return 2 <= len(word) <= 30 and word not in v.stopwords and word not in v.companies and not any(re.match(p, word) for name, p in NOISE if name != "generic")
+    return 2 <= len(word) <= 30 and word not in v.stopwords and word not in v.companies and not NO_WORD.match(word) and not any(re.search(p, word) for name, p in NOISE if name in DROPPED)
 
 
 def keywords_of(text: str, v: Vocabulary, tokenizer: Tokenizer) -> set[str]:
@@ -173,11 +191,10 @@ def signal_scores(rows: DataFrame, scope: list[str]) -> DataFrame:
 
     Needs keyword, current (count), change_raw, spread, max_share.
     """
-    noise = noise_class(F.col("keyword"))
-    kept = rows.withColumn("noise", noise).filter(F.col("noise").isNull() | (F.col("noise") == "generic"))
+    kept = rows.withColumn("noise", noise_class(F.col("keyword"))).filter(~is_dropped(F.col("noise")))
     scored = kept.withColumns({f"{n}_score": percentile_score(F.col(c), scope) for n, c in (("current", "current"), ("change", "change_raw"), ("spread", "spread"))})
     signal = 0.5 * F.col("current_score") + 0.3 * F.col("change_score") + 0.2 * F.col("spread_score")
-    penalty = concentration_penalty(F.col("max_share")) + F.when(F.col("noise") == "generic", 2.0).otherwise(0.0)
+    penalty = concentration_penalty(F.col("max_share")) + noise_penalty(F.col("noise"))
     final = scored.withColumn("signal", signal).withColumn("penalty", penalty).withColumn("final_score", F.col("signal") - F.col("penalty"))
     return final.withColumn("final_rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("final_score"), "keyword")))
 
@@ -202,8 +219,8 @@ def merge_spellings(rows: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def context_signature(text: Column) -> Column:
-    """A text with numbers as # and white space, dashes and quotes folded."""
-    folded = F.regexp_replace(F.regexp_replace(text, r"[‐-―]", "-"), r"[‘’“”\"]", "'")
+    """A text in NFKC and lower case, numbers as #, white space, dashes and quotes folded."""
+    folded = F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), r"[‐-―]", "-"), r"[‘’“”\"]", "'")
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[0-9][0-9.,]*", "#"), r"\s+", " "))
 
 
@@ -221,17 +238,29 @@ def context_diversity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return per.select("keyword", "n", c2.alias("c2"), c3.alias("c3"), support.alias("support"), ((c2 * 0.4 + c3 * 0.6) * support).alias("adjusted"))
 
 
-def mention_pattern(keyword: str) -> str:
-    """A pattern for a keyword: any white space between its words, no Latin letter or digit beside a Latin end."""
-    words = [re.escape(w) for w in keyword.split()]
-    body = r"\s*".join(words)
-    left = r"(?<![A-Za-z0-9])" if keyword[:1].isascii() and keyword[:1].isalnum() else ""
-    right = r"(?![A-Za-z0-9])" if keyword[-1:].isascii() and keyword[-1:].isalnum() else ""
-    return left + body + right
+def mention_pattern(keyword: str, aliases: dict[str, str] | None = None) -> str:
+    """A pattern for a keyword and the aliases that stand for it, longest first.
 
+    Any white space or none between the words, no Latin letter or digit beside it,
+    letter case aside; to be tried on text in NFKC.
+    """
+    fold = lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold()
+    surfaces = {keyword} | {alias for alias, target in (aliases or {}).items() if fold(target) == fold(keyword)}
+    terms = [r"\s*".join(map(re.escape, x.split())) for x in sorted(surfaces, key=lambda x: (-len(x), x))]
+    return "(?iu)" + "|".join(rf"(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])" for term in terms)
+
+
+@F.pandas_udf("string")
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-def related_filings(chunks: DataFrame, keyword: str) -> DataFrame:
-    """Per company the receipt with most mentions (then the later receipt); each chunk counts once."""
-    n = chunks.filter("text IS NOT NULL").withColumn("mentions", F.regexp_count("text", F.lit(mention_pattern(keyword)))).filter("mentions > 0")
+
+def related_filings(chunks: DataFrame, documents: DataFrame, keyword: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Per company the filing with most mentions, then the latest, then the larger receipt; each chunk counts once.
+
+    ``documents`` (corp_code, rcept_no, rcept_dt) are the filings that may be named.
+    """
+    n = chunks.filter("text IS NOT NULL").withColumn("mentions", F.regexp_count(nfkc("text"), F.lit(mention_pattern(keyword, aliases)))).filter("mentions > 0")
     per = n.groupBy("corp_code", "rcept_no").agg(F.sum("mentions").alias("mentions"))
-    return per.groupBy("corp_code").agg(F.max("mentions").alias("mentions"), F.max_by("rcept_no", F.struct("mentions", "rcept_no")).alias("rcept_no"))
+    known = per.join(documents.groupBy("corp_code", "rcept_no").agg(F.max("rcept_dt").alias("rcept_dt")), ["corp_code", "rcept_no"])
+    return known.groupBy("corp_code").agg(F.max("mentions").alias("mentions"), F.max_by("rcept_no", F.struct("mentions", F.coalesce("rcept_dt", F.lit("0001-01-01").cast("date")), "rcept_no")).alias("rcept_no"))

@@ -74,16 +74,9 @@ def d6(t: Tables) -> DataFrame:
     return dx.carried_labels(dx.grid_cells(t.filing_source_documents).filter("valid"), ["document_id", "table_no"]).select("document_id", "table_no", F.col("row").alias("row_at"), F.col("column").alias("column_at"), "label")
 
 
-@R.add("D7_number_parse", "SELECT chunk_id, CASE WHEN neg THEN -v ELSE v END AS amount FROM (SELECT chunk_id, starts_with(s, '(') AS neg, replace(regexp_extract(s, '[0-9,]+'), ',', '')::BIGINT * 1000 AS v FROM (SELECT chunk_id, regexp_extract(text, '([0-9]{1,3}(?:,[0-9]{3})+)천원', 1) AS s FROM (SELECT DISTINCT chunk_id, text FROM chunk_metadata WHERE chunk_id IS NOT NULL)) WHERE s <> '')")
+@R.add("D7_number_parse", "WITH s AS (SELECT chunk_id, regexp_extract_all(text, '([0-9]{1,3}(?:,[0-9]{3})+)천원', 1) AS f FROM (SELECT DISTINCT chunk_id, text FROM chunk_metadata WHERE chunk_id IS NOT NULL)), e AS (SELECT chunk_id, f, unnest(range(0, len(f))) AS place FROM s) SELECT chunk_id, place::INT AS place, replace(f[place + 1], ',', '')::BIGINT * 1000 AS amount FROM e")
 def d7(t: Tables) -> DataFrame:
-    s = F.regexp_extract("text", "([0-9]{1,3}(?:,[0-9]{3})+)천원", 1)
-    rows = b.chunks(t, "text").select("chunk_id", s.alias("s")).filter("s <> ''")
-    return rows.select("chunk_id", dx.number_column(F.col("s"), 1000).alias("amount"))
-
-
-@R.add("D7_number_parse_all", None)
-def d7_all(t: Tables) -> DataFrame:
-    """Every amount of the whole text; the SQL of D7_number_parse ends with the first."""
+    """Every amount of the whole text."""
     found = F.regexp_extract_all("text", F.lit("([0-9]{1,3}(?:,[0-9]{3})+)천원"), 1)
     rows = b.chunks(t, "text").select("chunk_id", F.posexplode(found).alias("place", "s"))
     return rows.select("chunk_id", "place", dx.number_column(F.col("s"), 1000).alias("amount"))
@@ -191,9 +184,16 @@ def d20(t: Tables) -> DataFrame:
     return b.chunks(t, "text").filter("text IS NOT NULL").mapInPandas(scan, "chunk_id string, start int, stop int, excerpt string")
 
 
-@R.add("D22_filing_category", "SELECT DISTINCT dart_report_name, CASE WHEN dart_report_name IS NULL THEN NULL WHEN regexp_matches(dart_report_name, '사업보고서|반기보고서|분기보고서') THEN '정기' WHEN contains(dart_report_name, '정정') THEN '정정' ELSE '기타' END AS category FROM filings")
+_TITLES = "titles AS (SELECT DISTINCT dart_report_name AS title FROM filings UNION SELECT DISTINCT section_name FROM chunk_metadata UNION SELECT DISTINCT subsection_name FROM chunk_metadata)"
+
+
+@R.add("D22_filing_category", f"WITH {_TITLES} SELECT title, CASE WHEN title IS NULL THEN NULL WHEN regexp_matches(title, '시설|설비|공장|생산') THEN '설비·생산' WHEN regexp_matches(title, '공급|계약') THEN '공급·계약' WHEN regexp_matches(title, '연구|개발|특허') THEN '연구·제품' WHEN regexp_matches(title, '사업보고서|반기보고서|분기보고서') THEN '정기보고' WHEN regexp_matches(title, '영업.*실적|잠정|손익') THEN '실적' ELSE '기타 공시' END AS category FROM titles")
 def d22(t: Tables) -> DataFrame:
-    return t.filings.select("dart_report_name").distinct().select("dart_report_name", mk.filing_category(F.col("dart_report_name")).alias("category"))
+    # report names are all periodic here, so headings are classed too
+    titles = t.filings.select(F.col("dart_report_name").alias("title"))
+    for c in ("section_name", "subsection_name"):
+        titles = titles.unionByName(t.chunk_metadata.select(F.col(c).alias("title")))
+    return titles.distinct().select("title", mk.filing_category(F.col("title")).alias("category"))
 
 
 @R.add("D23_korean_cap", "SELECT s_suppkey, s_suppkey * 1000000000000 + s_nationkey::BIGINT * 100000000 AS cap FROM supplier")
@@ -208,9 +208,29 @@ def d24(t: Tables) -> DataFrame:
     return dx.dedupe_text(c, ["corp_code"], "text", "chunk_id").select("chunk_id", "same_as")
 
 
-@R.add("D25_failure_class", "SELECT DISTINCT reason, CASE WHEN reason IS NULL THEN NULL ELSE 'other' END AS class FROM coverage")
+_REASONS = """reasons AS (SELECT DISTINCT reason FROM coverage UNION SELECT DISTINCT 'HTTP Error ' || (400 + o_orderkey % 110) FROM orders UNION SELECT DISTINCT '상태 코드: ' || (400 + o_orderkey % 110) || ' 응답' FROM orders
+  UNION SELECT DISTINCT p_type || ' timeout' FROM part UNION SELECT DISTINCT '근거 ID ' || p_size FROM part UNION SELECT DISTINCT 'API key ' || p_size || ' 할당량' FROM part)"""
+
+
+@R.add("D25_failure_class", f"""WITH {_REASONS}, c AS (SELECT reason, lower(reason) AS low, try_cast(regexp_extract(lower(reason), '(?:http\\s*(?:error\\s*)?|상태\\s*코드\\s*[:：]?\\s*)([0-9]{{3}})\\b', 1) AS INT) AS code FROM reasons)
+SELECT reason, CASE WHEN reason IS NULL THEN NULL WHEN code IN (401, 403, 404) OR regexp_matches(low, '인증|권한|api key|안전 예산|단일 요청 입력') THEN 'configuration'
+  WHEN code = 429 OR regexp_matches(low, '할당량|사용량 제한|rate limit') THEN 'rate_limit' WHEN code IN (408, 500, 502, 503, 504, 800) OR regexp_matches(low, '네트워크|연결 실패|timeout') THEN 'unavailable'
+  WHEN regexp_matches(low, '검증|json|근거 id|응답') THEN 'verification' ELSE 'insufficient_evidence' END AS class FROM c""")
 def d25(t: Tables) -> DataFrame:
-    return t.coverage.select("reason").distinct().select("reason", dx.failure_class(F.col("reason")).alias("class"))
+    # reasons of the table, and texts made of keys that reach every code and class
+    code = (400 + F.col("o_orderkey") % 110).cast("string")
+    made = [
+        t.coverage.select("reason"),
+        t.orders.select(F.concat(F.lit("HTTP Error "), code).alias("reason")),
+        t.orders.select(F.concat(F.lit("상태 코드: "), code, F.lit(" 응답")).alias("reason")),
+        t.part.select(F.concat("p_type", F.lit(" timeout")).alias("reason")),
+        t.part.select(F.concat(F.lit("근거 ID "), F.col("p_size").cast("string")).alias("reason")),
+        t.part.select(F.concat(F.lit("API key "), F.col("p_size").cast("string"), F.lit(" 할당량")).alias("reason")),
+    ]
+    rows = made[0]
+    for m in made[1:]:
+        rows = rows.unionByName(m)
+    return rows.distinct().select("reason", dx.failure_class(F.col("reason")).alias("class"))
 
 
 # Validation
@@ -238,18 +258,28 @@ def q4(t: Tables) -> DataFrame:
     return m.join(e, "vector_id", "left").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("vector_id").alias("vectors"), F.count_if(F.col("there").isNull()).alias("broken"))
 
 
-@R.add("Q5_fingerprint", "SELECT data_version, count(*) AS n FROM chunk_metadata GROUP BY 1")
+@R.add("Q5_fingerprint", "WITH r AS (SELECT DISTINCT h.data_version, chunk_id, content_hash FROM chunk_metadata_history h), v AS (SELECT data_version, row_number() OVER (ORDER BY created_at) AS i FROM data_versions), f AS (SELECT i, data_version, list(coalesce(chunk_id, '') || '/' || coalesce(content_hash, '') ORDER BY chunk_id, content_hash) AS c FROM r JOIN v USING (data_version) GROUP BY 1, 2) SELECT b.data_version, len(b.c) AS n, coalesce(a.c = b.c, false) AS unchanged FROM f b LEFT JOIN f a ON a.i = b.i - 1")
 def q5(t: Tables) -> DataFrame:
-    return rl.fingerprint(t.chunk_metadata.select("data_version", "chunk_id", "content_hash"), ["data_version"]).select("data_version", "n")
+    """Releases whose content has the fingerprint of the release before."""
+    once = t.chunk_metadata_history.select("data_version", "chunk_id", "content_hash").distinct()
+    order = t.data_versions.select("data_version", F.row_number().over(Window.orderBy("created_at")).alias("i"))
+    prints = rl.fingerprint(once, ["data_version"]).join(F.broadcast(order), "data_version")
+    before = prints.select((F.col("i") + 1).alias("i"), F.struct("n", "xor", "total").alias("before"))
+    return prints.join(before, "i", "left").select("data_version", "n", F.coalesce(F.struct("n", "xor", "total") == F.col("before"), F.lit(False)).alias("unchanged"))
 
 
-@R.add("Q6_reconciled_counts", None)
+@R.add("Q6_reconciled_counts", f"""WITH {b.SQL_CHUNKS}, kw AS (SELECT DISTINCT chunk_id, corp_code, trim(unnest(string_split(keyword, ',')), ' ') AS keyword FROM chunks WHERE keyword IS NOT NULL AND corp_code IS NOT NULL),
+raw AS (SELECT trim(unnest(string_split(keyword, ',')), ' ') AS keyword FROM chunks WHERE keyword IS NOT NULL), a AS (SELECT keyword, count(*) AS by_company FROM kw WHERE keyword <> '' GROUP BY 1), r AS (SELECT keyword, count(*) AS mentions FROM raw WHERE keyword <> '' GROUP BY 1)
+SELECT keyword, coalesce(by_company, 0) AS by_company, mentions, coalesce(by_company, 0) = mentions AS agrees FROM r LEFT JOIN a USING (keyword)""")
 def q6(t: Tables) -> DataFrame:
+    """Company sums per keyword against the mentions of the field itself: repeats in a chunk and chunks without a company do not reconcile."""
     from ledgerloom.plans.signals import hits
 
-    h = hits(t).filter("corp_code IS NOT NULL")
-    per = h.groupBy("keyword", "corp_code").agg(F.count(F.lit(1)).alias("n")).groupBy("keyword").agg(F.sum("n").alias("by_company"))
-    return per.join(h.groupBy("keyword").agg(F.count(F.lit(1)).alias("total")), "keyword").select("keyword", (F.col("by_company") == F.col("total")).alias("agrees"))
+    per = hits(t).filter("corp_code IS NOT NULL").groupBy("keyword", "corp_code").agg(F.count(F.lit(1)).alias("n")).groupBy("keyword").agg(F.sum("n").alias("by_company"))
+    raw = b.chunks(t, "keyword").select(F.explode(F.transform(F.split("keyword", ",", -1), lambda x: F.trim(x))).alias("keyword")).filter("keyword <> ''")
+    mentions = raw.groupBy("keyword").agg(F.count(F.lit(1)).alias("mentions"))
+    n = F.coalesce("by_company", F.lit(0))
+    return mentions.join(per, "keyword", "left").select("keyword", n.alias("by_company"), "mentions", (n == F.col("mentions")).alias("agrees"))
 
 
 # Composite queries

@@ -18,7 +18,6 @@ r6 = lambda c: F.round(c, 6)
 
 # Keywords of the listed keyword field: one row per chunk and keyword.
 _KW = b.SQL_CHUNKS + ", kw AS (SELECT DISTINCT chunk_id, corp_code, year, report_type, section_name, trim(unnest(string_split(keyword, ',')), ' ') AS keyword FROM chunks WHERE keyword IS NOT NULL), hits AS (SELECT * FROM kw WHERE keyword <> '')"
-_CHANGE = "yt AS (SELECT year, count(*)::DOUBLE AS total FROM chunks GROUP BY 1), yr AS (SELECT keyword, year, count(*) / any_value(total) AS rate FROM hits JOIN yt USING (year) GROUP BY 1, 2), w AS (SELECT keyword, " + ", ".join(f"coalesce(max(rate) FILTER (year = {y}), 0) AS r{y}" for y in YEARS) + " FROM yr GROUP BY 1), ch AS (SELECT keyword, ((r2023 - r2022) * 0.4 + (r2024 - r2023) * 0.6) * 0.4 + (r2025 - r2024) * 0.6 AS change_raw FROM w)"
 
 
 def hits(t: Tables) -> DataFrame:
@@ -71,9 +70,25 @@ def k3(t: Tables) -> DataFrame:
     return sg.extract_keywords(b.chunks(t, "text", "corp_code")).filter(F.col("keyword").contains(" ")).groupBy("keyword").agg(F.count_distinct("corp_code").alias("companies"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add("K5_noise_classes", "SELECT DISTINCT p_type AS keyword, CASE WHEN regexp_matches(p_type, '^[0-9.,%]+$') THEN 'number' END AS noise FROM part")
+# The classes written out once more for SQL, in their order of precedence.
+_NOISE = """CASE WHEN regexp_matches(keyword, '^(?:USD|JPY|KRW|EUR|CNY|GBP|CHF|CAD|AUD|HKD|SGD)$') OR regexp_matches(keyword, '환율|환산|외화|원화|통화위험') THEN '통화/환율'
+  WHEN regexp_matches(keyword, '전년|전기|전분기|전월|당기|동기|전년도|기간 대비') THEN '기간 비교' WHEN regexp_matches(keyword, '업계 최초|세계 최초|국내 최초|최고 수준|업계 최고|경쟁 우위') THEN '홍보·수식'
+  WHEN regexp_matches(keyword, '재고 자산|매출액|재무|회계|충당금|감가상각|장부가액|보고기간') THEN '회계·보고서 관용'
+  WHEN regexp_matches(keyword, '(?:기업\\s*공시|공시)\\s*서식|서식\\s*(?:작성|기준)|기재\\s*(?:예정|생략)|(?:분\\s*[ㆍ·ᆞ]\\s*반기|분반기)|분석\\s*의견') THEN '공시 메타'
+  WHEN regexp_matches(keyword, '(?i)\\b(?:comprising|thereof|wherein)\\b|\\b(?:inhibitors?|compositions?)\\s+and\\s+methods?\\b') THEN '특허 법률 문구'
+  WHEN regexp_matches(keyword, '^(?:기존\\s*대비|기저\\s*효과)$') OR regexp_matches(keyword, '^[가-힣]+(?:특별시|광역시|특별자치시|특별자치도|도|시|군|구)\\s*소재$') THEN '문서성 표현'
+  WHEN regexp_matches(keyword, '부가 가치|자금 조달|수주 상황|경영 전략|사업 계획') THEN '일반 경영' END"""
+# Headings and report names are candidates too: they hold the classes that the keyword field lacks.
+_WORDS = f"{_KW}, words AS (SELECT DISTINCT keyword FROM hits UNION SELECT DISTINCT regexp_replace(section_name, '^[IVX]+\\. ', '') FROM chunks WHERE section_name IS NOT NULL UNION SELECT DISTINCT regexp_replace(subsection_name, '^[0-9]+\\. ', '') FROM chunks WHERE subsection_name IS NOT NULL)"
+
+
+@R.add("K5_noise_classes", f"WITH {_WORDS}, n AS (SELECT keyword, {_NOISE} AS noise FROM words) SELECT keyword, noise, noise IS NOT NULL AND noise NOT IN ('홍보·수식', '일반 경영') AS dropped, CASE WHEN noise = '일반 경영' THEN 2.0 ELSE 0.0 END::DOUBLE AS penalty FROM n")
 def k5(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_type").alias("keyword")).distinct().select("keyword", sg.noise_class(F.col("keyword")).alias("noise"))
+    c = b.chunks(t, "section_name", "subsection_name")
+    heading = lambda c_, p: c.filter(F.col(c_).isNotNull()).select(F.regexp_replace(c_, p, "").alias("keyword"))
+    words = hits(t).select("keyword").unionByName(heading("section_name", r"^[IVX]+\. ")).unionByName(heading("subsection_name", r"^[0-9]+\. ")).distinct()
+    noise = sg.noise_class(F.col("keyword"))
+    return words.select("keyword", noise.alias("noise")).select("keyword", "noise", sg.is_dropped(F.col("noise")).alias("dropped"), sg.noise_penalty(F.col("noise")).alias("penalty"))
 
 
 @R.add("K6_mention_rate", f"WITH {_KW}, yt AS (SELECT year, count(*) AS total FROM chunks GROUP BY 1) SELECT keyword, year, count(*) AS df, round(count(*) / any_value(total), 9) AS rate FROM hits JOIN yt USING (year) GROUP BY 1, 2")
@@ -81,14 +96,18 @@ def k6(t: Tables) -> DataFrame:
     return year_rates(t).select("keyword", "year", "df", F.round("rate", 9).alias("rate"))
 
 
-@R.add("K7_change_blend", f"WITH {_KW}, {_CHANGE} SELECT keyword, round(change_raw, 9) AS change_raw FROM ch")
-def k7(t: Tables) -> DataFrame:
-    return sg.blended_change(year_rates(t), YEARS).select("keyword", F.round("change_raw", 9).alias("change_raw"))
+# Completed years whole, the newest only on the report types that it shares with the year before; comparisons without chunks are skipped.
+_CHANGE = """ty AS (SELECT report_type FROM chunks WHERE report_type IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (year = 2024) > 0 AND count(*) FILTER (year = 2025) > 0),
+tt AS (SELECT count(*) FILTER (year = 2022)::DOUBLE AS t2, count(*) FILTER (year = 2023)::DOUBLE AS t3, count(*) FILTER (year = 2024)::DOUBLE AS t4,
+  count(*) FILTER (year = 2024 AND report_type IN (FROM ty))::DOUBLE AS p, count(*) FILTER (year = 2025 AND report_type IN (FROM ty))::DOUBLE AS l FROM chunks),
+ky AS (SELECT keyword, count(*) FILTER (year = 2022) AS n2, count(*) FILTER (year = 2023) AS n3, count(*) FILTER (year = 2024) AS n4,
+  count(*) FILTER (year = 2024 AND report_type IN (FROM ty)) AS np, count(*) FILTER (year = 2025 AND report_type IN (FROM ty)) AS nl FROM hits GROUP BY 1),
+dl AS (SELECT keyword, list_filter([n3 / nullif(t3, 0) - n2 / nullif(t2, 0), n4 / nullif(t4, 0) - n3 / nullif(t3, 0), nl / nullif(l, 0) - np / nullif(p, 0)], lambda x: x IS NOT NULL) AS d FROM ky, tt),
+ch AS (SELECT keyword, CASE len(d) WHEN 0 THEN 0 WHEN 1 THEN d[1] WHEN 2 THEN d[1] * 0.4 + d[2] * 0.6 ELSE (d[1] * 0.4 + d[2] * 0.6) * 0.4 + d[3] * 0.6 END AS change_raw FROM dl)"""
 
 
-# The SQL of K7_change_blend compares whole years
-@R.add("K7_comparable_change", None)
-def k7_comparable(t: Tables) -> DataFrame:
+@R.add("K7_change_blend", f"WITH {_KW}, {_CHANGE} SELECT keyword, round(change_raw, 9) AS change_raw FROM ch")
+def k7(t: Tables) -> DataFrame:
     return comparable_change(t).select("keyword", F.round("change_raw", 9).alias("change_raw"))
 
 
@@ -130,9 +149,16 @@ def k21(t: Tables) -> DataFrame:
     return d.withColumn("score", rk.percentile_score(F.col("adjusted"), []))
 
 
-@R.add("K23_related_filings", None)
+_FILED = "fd AS (SELECT corp_code, regexp_replace(rcept_no, '[^0-9]', '', 'g') AS r, max(rcept_dt) AS dt FROM filings WHERE corp_code IS NOT NULL GROUP BY 1, 2)"
+
+
+@R.add("K23_related_filings", f"""WITH {b.SQL_CHUNKS}, {_FILED}, m AS (SELECT corp_code, regexp_replace(rcept_no, '[^0-9]', '', 'g') AS r, len(regexp_extract_all(lower(nfc_normalize(text)), '온실가스\\s*배출량|특허권')) AS n FROM chunks WHERE text IS NOT NULL AND corp_code IS NOT NULL),
+g AS (SELECT m.corp_code, m.r, sum(n)::BIGINT AS mentions, any_value(dt) AS dt FROM m JOIN fd ON m.corp_code = fd.corp_code AND m.r = fd.r WHERE n > 0 GROUP BY 1, 2)
+SELECT DISTINCT ON (corp_code) corp_code, mentions, r AS rcept_no FROM g ORDER BY corp_code, mentions DESC, dt DESC NULLS LAST, r DESC""")
 def k23(t: Tables) -> DataFrame:
-    return sg.related_filings(b.chunks(t, "corp_code", "rcept_no", "text"), "온실가스 배출량")
+    c = b.chunks(t, "corp_code", "rcept_no", "text").filter("corp_code IS NOT NULL").withColumn("rcept_no", F.regexp_replace("rcept_no", "[^0-9]", ""))
+    d = t.filings.filter("corp_code IS NOT NULL").select("corp_code", F.regexp_replace("rcept_no", "[^0-9]", "").alias("rcept_no"), "rcept_dt")
+    return sg.related_filings(c, d, "온실가스 배출량", {"특허권": "온실가스  배출량"})
 
 
 @R.add("K24_wordcloud_items", None)
@@ -144,7 +170,7 @@ def k24(t: Tables) -> DataFrame:
 
 # Retrieval
 
-_Q = "q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0 ORDER BY vec_id LIMIT 20), sc AS (SELECT query_id, vec_id, label, list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * q.qv[i]::DOUBLE)) AS score FROM embeddings e, q WHERE vec_id <> query_id)"
+_Q = "q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), sc AS (SELECT query_id, vec_id, label, list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * q.qv[i]::DOUBLE)) AS score FROM embeddings e, q WHERE vec_id <> query_id)"
 
 
 def every_20th(t: Tables) -> DataFrame:
@@ -152,53 +178,22 @@ def every_20th(t: Tables) -> DataFrame:
     return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def queries20(t: Tables) -> DataFrame:
-    """What the SQL of the queries names: the first 20 of the set."""
-    return every_20th(t).orderBy("query_id").limit(20)
-
-
 @R.add("V2_cosine_top_k", f"WITH {_Q} SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc) WHERE rank <= 5")
 def v2(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, queries20(t), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
+    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
 
 
 @R.add("V2_cosine_top_k_by_group", f"WITH {_Q} SELECT query_id, label, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc) WHERE rank <= 2")
 def v2g(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, queries20(t), "vec_id", "embedding", 2, ["label"]).select("query_id", "label", "vec_id", "rank")
+    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 2, ["label"]).select("query_id", "label", "vec_id", "rank")
 
 
 @R.add("J16_cosine_cross", f"WITH {_Q} SELECT query_id, vec_id, round(score, 6) AS score FROM sc")
 def j16(t: Tables) -> DataFrame:
-    # 20 query vectors against all rows
-    return rt.cosine_scores(t.embeddings, queries20(t), "vec_id", "embedding").select("query_id", "vec_id", F.round("score", 6).alias("score"))
-
-
-# The same searches for the whole query set; the SQL of those above ends it after 20
-
-
-@R.add("V2_cosine_top_k_all", None)
-def v2_all(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
-
-
-@R.add("V2_cosine_top_k_by_group_all", None)
-def v2g_all(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 2, ["label"]).select("query_id", "label", "vec_id", "rank")
-
-
-@R.add("J16_cosine_cross_all", None)
-def j16_all(t: Tables) -> DataFrame:
+    # the query set against all rows, in broadcast blocks
     return rt.cosine_scores(t.embeddings, every_20th(t), "vec_id", "embedding").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@R.add("W7_exact_top_k_all", None)
-def w7_all(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 1).select("vec_id", "query_id")
-
-
-R.add("W8_ranked_top_k_all", None)(v2_all)
-
-
 @R.add("V3_vector_contract", "WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS len FROM embeddings) SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, count(*) FILTER (embedding IS NULL OR len(embedding) <> 64) AS wrong_shape, 0::BIGINT AS not_finite, count(*) FILTER (abs(len - 1) > 0.002) AS not_unit FROM e")
 def v3(t: Tables) -> DataFrame:
     return rt.vector_contract(t.embeddings, "vec_id", "embedding", 64)
@@ -250,10 +245,14 @@ R.add("V7_topic_evidence", SQL["W9_topic_evidence"])(w9)
 
 @R.add("W7_exact_top_k", f"WITH {_Q} SELECT vec_id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc) WHERE rank = 1")
 def w7(t: Tables) -> DataFrame:
-    return rt.cosine_top_k(t.embeddings, queries20(t), "vec_id", "embedding", 1).select("vec_id", "query_id")
+    return rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 1).select("vec_id", "query_id")
 
 
-R.add("W8_ranked_top_k", SQL["V2_cosine_top_k"])(v2)
+@R.add("W8_ranked_top_k", f"WITH {_Q}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc) SELECT query_id, vec_id, rank::INT AS rank, round(score, 4) AS score FROM rk WHERE rank <= 8 AND score > 0")
+def w8(t: Tables) -> DataFrame:
+    """The team client's search: eight hits with their rounded score, none below zero."""
+    hits = rt.cosine_top_k(t.embeddings, every_20th(t), "vec_id", "embedding", 8).filter("score > 0")
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
 
 
 @R.add("W10_evidence_thinning", f"WITH {b.SQL_CHUNKS}, {_TOPICS}, th AS (SELECT *, row_number() OVER (PARTITION BY corp_code, year, report_type ORDER BY chunk_id) AS n FROM te WHERE position <= 6) SELECT chunk_id FROM th WHERE n <= CASE WHEN year = 2025 THEN 2 ELSE 1 END")
@@ -276,15 +275,13 @@ def v8(t: Tables) -> DataFrame:
     return rt.historical_anchors(s, scopes).select("corp_code", "report_type", "year", "chunk_id")
 
 
-@R.add("V9_adjacent_context", f"WITH {b.SQL_CHUNKS}, p AS (SELECT chunk_id, text, strpos(text, '특허') - 1 AS pos FROM chunks WHERE contains(text, '특허')) SELECT chunk_id, substring(text, greatest(0, pos - 120) + 1, pos - greatest(0, pos - 120)) AS before, substring(text, pos + 3, 120) AS after FROM p")
-def v9(t: Tables) -> DataFrame:
-    c = b.chunks(t, "text").filter(F.col("text").contains("특허")).withColumn("at", F.instr("text", "특허") - 1)
-    return c.select("chunk_id", rt.adjacent_context(F.col("text"), F.col("at"), F.col("at") + 2).alias("x")).select("chunk_id", "x.before", "x.after")
+_V9 = """, m AS (SELECT chunk_id, text, string_split(text, '특허') AS parts FROM chunks WHERE contains(text, '특허')), e AS (SELECT chunk_id, text, parts, unnest(range(0, len(parts) - 1)) AS place FROM m),
+p AS (SELECT chunk_id, text, place, length(array_to_string(parts[1:place + 1], '특허')) AS pos FROM e)"""
 
 
-@R.add("V9_adjacent_context_all", None)
-def v9_all(t: Tables) -> DataFrame:
-    """The context of every mention; the SQL of V9_adjacent_context ends with the first."""
+@R.add("V9_adjacent_context", f"WITH {b.SQL_CHUNKS}{_V9} SELECT chunk_id, place::INT AS place, substring(text, greatest(0, pos - 120) + 1, pos - greatest(0, pos - 120)) AS before, substring(text, pos + 3, 120) AS after FROM p")
+def v9(t: Tables) -> DataFrame:
+    """The context of every mention."""
     parts = F.split("text", "특허", -1)
     c = b.chunks(t, "text").filter(F.col("text").contains("특허")).withColumn("parts", parts)
     # mention i stands behind the first i + 1 parts and the i mentions between them

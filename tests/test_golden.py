@@ -132,7 +132,14 @@ def test_passages_claims_and_quotes(spark):
 
 def test_related_filings_and_lexical(spark):
     df = spark.createDataFrame([("c", "r1", "HBM HBM"), ("c", "r2", "HBM xHBM HBMs"), ("c", "r3", None)], "corp_code string, rcept_no string, text string")
-    assert tuple(one(sg.related_filings(df, "HBM"))) == ("c", 2, "r1")
+    dates = {"r1": dt.date(2024, 1, 1), "r2": dt.date(2024, 2, 1), "r3": None}
+    docs = spark.createDataFrame([("c", r, d) for r, d in dates.items()], "corp_code string, rcept_no string, rcept_dt date")
+    best = one(sg.related_filings(df, docs, "HBM"))
+    assert (best.corp_code, best.mentions, best.rcept_no) == ("c", 2, "r1")
+    # letter case and width aside, an alias counts, and of equal counts the later filing is named
+    aliased = spark.createDataFrame([("c", "r1", "ｈｂｍ hbm"), ("c", "r2", "고대역폭  메모리 HBM"), ("c", "r9", "HBM " * 9)], "corp_code string, rcept_no string, text string")
+    best = one(sg.related_filings(aliased, docs, "HBM", {"고대역폭 메모리": "hbm"}))
+    assert (best.mentions, best.rcept_no) == (2, "r2")
     assert [r.s for r in df.select(rt.lexical_score(F.col("text"), [("hbm",), ("x",)]).alias("s")).collect()] == [1.0, 2.0, 0.0]
 
 

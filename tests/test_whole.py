@@ -27,17 +27,17 @@ def test_every_query_vector_is_answered(spark, monkeypatch):
     asked = sorted(i for i in ids if i % 20 == 0)
     assert len(asked) > 20
     got = {}
-    for r in entry.queries()["V2_cosine_top_k_all"](spark, SF).collect():
+    for r in entry.queries()["V2_cosine_top_k"](spark, SF).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     for q in asked:
         score = x @ x[list(ids).index(q)]
         order = [i for _, i in sorted((-round(s, 12), i) for s, i in zip(score, ids, strict=True) if i != q)]
         assert [got[q][k] for k in range(1, 6)] == order[:5]
     assert set(got) == set(asked)
-    best = {r.query_id: r.vec_id for r in entry.queries()["W7_exact_top_k_all"](spark, SF).collect()}
+    best = {r.query_id: r.vec_id for r in entry.queries()["W7_exact_top_k"](spark, SF).collect()}
     assert best == {q: near[1] for q, near in got.items()}
-    assert entry.queries()["J16_cosine_cross_all"](spark, SF).count() == len(asked) * (len(ids) - 1)
-    by_group = entry.queries()["V2_cosine_top_k_by_group_all"](spark, SF).agg(F.count_distinct("query_id").alias("n")).first().n
+    assert entry.queries()["J16_cosine_cross"](spark, SF).count() == len(asked) * (len(ids) - 1)
+    by_group = entry.queries()["V2_cosine_top_k_by_group"](spark, SF).agg(F.count_distinct("query_id").alias("n")).first().n
     assert by_group == len(asked)
 
 
@@ -100,7 +100,7 @@ def test_sector_scores_use_the_comparable_change(spark, tmp_path):
 def test_every_amount_of_a_text_is_parsed(spark, tmp_path):
     texts = {"a": "매출 1,200천원, 비용 3,400천원, 이익 1,200천원", "b": "없음 12천원", "c": None, "d": "10,000천원"}
     chunk_rows(spark, str(tmp_path), [(k, "x", 2025, "FY", v, None) for k, v in texts.items()])
-    got = sorted(map(tuple, entry.queries()["D7_number_parse_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, entry.queries()["D7_number_parse"](spark, str(tmp_path)).collect()))
     assert got == [("a", 0, 1_200_000), ("a", 1, 3_400_000), ("a", 2, 1_200_000), ("d", 0, 10_000_000)]
 
 
@@ -110,6 +110,6 @@ def test_every_passage_and_mention_is_located(spark, tmp_path):
     got = sorted((r.start, r.stop, r.excerpt) for r in entry.queries()["D20_located_quotes"](spark, str(tmp_path)).collect())
     assert [(s, e) for s, e, _ in got] == [(s, e) for s, e, _ in dx.passages_of(text)] and len(got) == 4
     assert all(x == text[max(0, s - 1000) : s + 1000] for s, _, x in got)
-    mentions = sorted((r.place, r.before, r.after) for r in entry.queries()["V9_adjacent_context_all"](spark, str(tmp_path)).collect())
+    mentions = sorted((r.place, r.before, r.after) for r in entry.queries()["V9_adjacent_context"](spark, str(tmp_path)).collect())
     at = [m.start() for m in re.finditer("특허", text)]
     assert mentions == [(i, text[max(0, p - 120) : p], text[p + 2 : p + 122]) for i, p in enumerate(at)] and len(at) == 5
