@@ -104,7 +104,8 @@ def thin_evidence(rows: DataFrame, scope: list[str], latest: int) -> DataFrame:
 
 def historical_anchors(rows: DataFrame, scopes: DataFrame, most: int = 4) -> DataFrame:
     """For up to ``most`` (company, type) scopes the best row of the year before."""
-    few_scopes = top_per_group(scopes.withColumn("_all", F.lit(0)), ["_all"], [F.col("corp_code"), F.col("report_type")], most, "_s").drop("_all", "_s")
+    # a top-k of every task and one of those, no window
+    few_scopes = scopes.orderBy("corp_code", "report_type").limit(most)
     wanted = few_scopes.select("corp_code", "report_type", (F.col("year") - 1).alias("year"))
     # at most ``most`` rows
     hits = rows.join(F.broadcast(wanted), ["corp_code", "report_type", "year"], "left_semi")

@@ -250,9 +250,13 @@ def mention_pattern(keyword: str, aliases: dict[str, str] | None = None) -> str:
     return "(?iu)" + "|".join(rf"(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])" for term in terms)
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def nfkc(text: Column | str) -> Column:
+    """A text in NFKC, in Arrow batches: Spark has no built-in for it."""
+
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return F.pandas_udf(fold, "string")(text)
 
 
 def related_filings(chunks: DataFrame, documents: DataFrame, keyword: str, aliases: dict[str, str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from ledgerloom.operators import documents as dx
 from ledgerloom.operators import ranking as rk
 from ledgerloom.plans import base as b
 from ledgerloom.plans.registry import Registry, Tables
-from ledgerloom.plans.signals import hits, sector_scores
+from ledgerloom.plans.signals import SQL_SECTOR, hits, sector_scores
 from ledgerloom.sources.files import by_parameters
 
 R = Registry()
@@ -112,7 +112,7 @@ def k17b(t: Tables) -> DataFrame:
     return cs.contained_spans(counts)
 
 
-@R.add("X21_signal_apply", None)
+@R.add("X21_signal_apply", f"WITH {SQL_SECTOR}, tp AS (SELECT corp_code FROM chunks WHERE year = 2025 AND corp_code IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, corp_code LIMIT 5) SELECT keyword, final_rank, count(DISTINCT chunk_id) AS n, count(DISTINCT corp_code) AS companies FROM hits JOIN sector USING (keyword) WHERE year = 2025 AND corp_code IN (FROM tp) AND final_rank <= 30 GROUP BY 1, 2")
 def x21(t: Tables) -> DataFrame:
     """The cloud only where the latest year is there, for the companies with most chunks."""
     members = b.chunks(t, "corp_code", "year").filter(f"year = {LATEST} AND corp_code IS NOT NULL").groupBy("corp_code").agg(F.count(F.lit(1)).alias("weight"))
@@ -121,7 +121,7 @@ def x21(t: Tables) -> DataFrame:
     return h.join(sector_scores(t).filter("final_rank <= 30").select("keyword", "final_rank"), "keyword").groupBy("keyword", "final_rank").agg(F.count_distinct("chunk_id").alias("n"), F.count_distinct("corp_code").alias("companies"))
 
 
-@R.add("X28_keyword_statistics", None)
+@R.add("X28_keyword_statistics", f"WITH {SQL_SECTOR} SELECT keyword, current, change_raw, round(spread, 6) AS spread, companies, final_rank FROM sector")
 def x28(t: Tables) -> DataFrame:
     return sector_scores(t).select("keyword", "current", F.round("change_raw", 9).alias("change_raw"), F.round("spread", 6).alias("spread"), "companies", "final_rank")
 

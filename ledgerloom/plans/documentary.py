@@ -16,6 +16,7 @@ from ledgerloom.operators import ranking as rk
 from ledgerloom.operators import releases as rl
 from ledgerloom.plans import base as b
 from ledgerloom.plans.registry import Registry, Tables
+from ledgerloom.plans.signals import SQL_SECTOR
 from ledgerloom.plans.windows import daily
 
 R = Registry()
@@ -82,7 +83,7 @@ def d7(t: Tables) -> DataFrame:
     return rows.select("chunk_id", "place", dx.number_column(F.col("s"), 1000).alias("amount"))
 
 
-@R.add("D8_account_label", None)
+@R.add("D8_account_label", "SELECT DISTINCT source_account_name, regexp_replace(regexp_replace(regexp_replace(source_account_name, '\\((?:주|Note)[^)]*\\)|주\\d+\\)?', '', 'g'), '^\\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX]+|[0-9]+|[가-하])[.)]\\s*', ''), '\\s+', '', 'g') AS label FROM financial_metric_values")
 def d8(t: Tables) -> DataFrame:
     return t.financial_metric_values.select("source_account_name").distinct().select("source_account_name", dx.account_label(F.col("source_account_name")).alias("label"))
 
@@ -326,10 +327,10 @@ def x8(t: Tables) -> DataFrame:
     return t.filings.filter("is_active = 1").select("rcept_no", "corp_code", F.concat(F.col("year").cast("string"), F.lit(" "), F.col("report_type")).alias("period"), F.coalesce("dart_report_name", "report_type").alias("report_name")).distinct()
 
 
-@R.add("X9_hit_adapter", None)
+@R.add("X9_hit_adapter", f"WITH {b.SQL_CHUNKS} SELECT chunk_id AS id, rcept_no, section_name, 0 AS start, length(text) AS stop, 1.0::DOUBLE AS score FROM chunks WHERE text IS NOT NULL")
 def x9(t: Tables) -> DataFrame:
     c = b.chunks(t, "text", "section_name", "rcept_no").filter("text IS NOT NULL")
-    return c.select(F.struct(F.col("chunk_id").alias("id"), "rcept_no", "section_name", F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit(1.0).alias("score")).alias("hit"))
+    return c.select(F.col("chunk_id").alias("id"), "rcept_no", "section_name", F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit(1.0).alias("score"))
 
 
 @R.add("X10_flow_reader", f"WITH {b.SQL_QUARTERS} SELECT corp_code, year, quarter, value FROM quarters WHERE basis = 'CFS' AND metric = 'REVENUE'")
@@ -374,7 +375,7 @@ def x19(t: Tables) -> DataFrame:
     return b.chunks(t, "corp_code", "is_active", "is_searchable", "year").filter("corp_code = '00000990' AND is_active = 1 AND is_searchable = 1 AND year BETWEEN 2023 AND 2025").select("chunk_id")
 
 
-@R.add("X20_sector_driver", None)
+@R.add("X20_sector_driver", f"WITH {SQL_SECTOR} SELECT keyword, final_rank, round(weight, 6)::DOUBLE AS weight FROM wt")
 def x20(t: Tables) -> DataFrame:
     from ledgerloom.plans.signals import sector_scores
 
@@ -382,7 +383,7 @@ def x20(t: Tables) -> DataFrame:
     return top.select("keyword", "final_rank", F.round(rk.display_weight(F.col("final_score"), F.col("final_rank"), ["sector"]), 6).alias("weight"))
 
 
-@R.add("X22_keyword_gate", None)
+@R.add("X22_keyword_gate", f"WITH {SQL_SECTOR} SELECT keyword, chunk_id FROM hits WHERE keyword IN (SELECT keyword FROM cloud)")
 def x22(t: Tables) -> DataFrame:
     from ledgerloom.plans.signals import hits, sector_scores
 
@@ -390,9 +391,15 @@ def x22(t: Tables) -> DataFrame:
     return hits(t).select("keyword", "chunk_id").join(cloud, "keyword", "left_semi")
 
 
-@R.add("X23_quarter_source_trace", None)
+@R.add("X23_quarter_source_trace", f"WITH {b.SQL_QUARTERS} SELECT corp_code, basis, metric, year, quarter, method FROM quarters WHERE value IS NOT NULL")
 def x23(t: Tables) -> DataFrame:
-    return b.quarters(t).filter("value IS NOT NULL").select("corp_code", "basis", "metric", "year", "quarter", "method", F.transform("inputs", lambda x: x["input"]).alias("inputs"))
+    return b.quarters(t).filter("value IS NOT NULL").select("corp_code", "basis", "metric", "year", "quarter", "method")
+
+
+# which stored and cumulative figures each quarter was built from; the SQL of X23_quarter_source_trace names the method only
+@R.add("X23_quarter_inputs", None)
+def x23_inputs(t: Tables) -> DataFrame:
+    return b.quarters(t).filter("value IS NOT NULL").select("corp_code", "basis", "metric", "year", "quarter", F.transform("inputs", lambda x: x["input"]).alias("inputs"))
 
 
 @R.add("X24_ratio_source_trace", f"WITH {b.SQL_FACTS}, r AS (SELECT DISTINCT corp_code, basis, year, report_type, rcept FROM facts WHERE metric IN ('REVENUE', 'OPERATINGINCOME') AND rcept IS NOT NULL) SELECT corp_code, basis, year, report_type, string_agg(rcept, ',' ORDER BY rcept) AS receipts FROM r GROUP BY 1, 2, 3, 4")
@@ -434,7 +441,7 @@ def x27(t: Tables) -> DataFrame:
     return filings.unionByName(numbers).withColumn("position", F.row_number().over(order))
 
 
-@R.add("X29_provenance_only", None)
+@R.add("X29_provenance_only", f"WITH {b.SQL_CHUNKS}, kn AS (SELECT DISTINCT regexp_replace(rcept_no, '[^0-9]', '', 'g') AS r FROM filings WHERE is_active = 1 AND regexp_matches(rcept_no, '[1-9]')) SELECT coalesce(regexp_matches(rcept_no, '[1-9]') AND regexp_replace(rcept_no, '[^0-9]', '', 'g') IN (FROM kn), false) AS known, count(*) AS n FROM chunks GROUP BY 1")
 def x29(t: Tables) -> DataFrame:
     """Passages of answers whose source is known; unknown ids leave a warning count."""
     said = b.chunks(t, "rcept_no").select("chunk_id", b.digits("rcept_no").alias("rcept"))
@@ -455,7 +462,7 @@ def x32(t: Tables) -> DataFrame:
     return tagged.groupBy("rcept", "acode").agg(fin.unique_or_null(F.col("value")).alias("value"), F.count("value").alias("cells"))
 
 
-@R.add("X35_two_session_collection", None)
+@R.add("X35_two_session_collection", "WITH daily AS (SELECT event_type AS instrument, ts::DATE AS day, arg_max(value, (ts, event_id)) AS close FROM events WHERE value IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY day DESC) AS rn FROM daily WHERE day > DATE '2023-12-25' AND day < DATE '2024-01-25') SELECT c.instrument, c.day, c.close, p.close AS previous FROM r c JOIN r p ON c.instrument = p.instrument AND c.rn = 1 AND p.rn = 2")
 def x35(t: Tables) -> DataFrame:
     return mk.close_snapshot(daily(t).filter("day > DATE '2023-12-25'"), "2024-01-25").select("instrument", "day", "close", "previous")
 
@@ -471,11 +478,11 @@ def x37(t: Tables) -> DataFrame:
     return b.series(t).groupBy("corp_code", "basis").agg(F.max(F.col("year") * 4 + F.col("quarter")).alias("latest"), F.count("revenue").alias("quarters"))
 
 
-@R.add("X38_keyword_card", None)
+@R.add("X38_keyword_card", f"WITH {SQL_SECTOR} SELECT keyword, round(final_score, 4)::DOUBLE AS final_score, round(current_score, 4)::DOUBLE AS current_score, round(change_score, 4)::DOUBLE AS change_score, round(spread_score, 4)::DOUBLE AS spread_score, round(penalty, 4)::DOUBLE AS penalty FROM cloud")
 def x38(t: Tables) -> DataFrame:
     from ledgerloom.plans.signals import sector_scores
 
-    return sector_scores(t).filter("final_rank <= 30").select("keyword", F.format_string("%.1f = 0.5*%.1f + 0.3*%.1f + 0.2*%.1f - %.1f", "final_score", "current_score", "change_score", "spread_score", "penalty").alias("card"))
+    return sector_scores(t).filter("final_rank <= 30").select("keyword", *(F.round(c, 4).alias(c) for c in ("final_score", "current_score", "change_score", "spread_score", "penalty")))
 
 
 @R.add("X39_period_union", f"WITH {b.SQL_SERIES}, p AS (SELECT DISTINCT year, quarter FROM series), c AS (SELECT DISTINCT corp_code, basis FROM series) SELECT c.corp_code, c.basis, p.year, p.quarter, s.revenue FROM c CROSS JOIN p LEFT JOIN series s USING (corp_code, basis, year, quarter)")

@@ -50,6 +50,8 @@ def sector_scores(t: Tables) -> DataFrame:
     now = year_rates(t).filter("year = 2025").select("keyword", F.col("df").alias("current")).filter("current >= 2")
     change = comparable_change(t)
     rows = now.join(change, "keyword").join(spread(t).filter("companies >= 2"), "keyword").withColumn("sector", F.lit("all"))
+    # ranks must not hang on the last digit of a sum, which follows its order
+    rows = rows.withColumns({"change_raw": F.round("change_raw", 9), "spread": F.round("spread", 9)})
     return sg.suppress_components(sg.signal_scores(rows, ["sector"]), ["sector"], ["재고"])
 
 
@@ -119,7 +121,21 @@ def k8(t: Tables) -> DataFrame:
     return spread(t).select("keyword", "companies", r6("spread").alias("spread"), r6("max_share").alias("max_share"))
 
 
-@R.add("K9_signal", None)
+_P = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0) / count(*) OVER () * 100"
+#: The whole sector signal in SQL: counts, change, spread, noise, percentiles, penalties, rank, suppression.
+SQL_SECTOR = f"""{_KW}, {_CHANGE}, {_SPREAD}, nw AS (SELECT keyword, count(*) AS current FROM hits WHERE year = 2025 GROUP BY 1 HAVING count(*) >= 2),
+rw AS (SELECT keyword, current, round(change_raw, 9) AS change_raw, companies, max_share, round(0.6 * coverage + 0.4 * entropy, 9) AS spread, {_NOISE} AS noise FROM nw JOIN ch USING (keyword) JOIN sp USING (keyword) WHERE companies >= 2),
+kept AS (SELECT * FROM rw WHERE noise IS NULL OR noise IN ('홍보·수식', '일반 경영')),
+pc AS (SELECT *, {_P.format("current")} AS current_score, {_P.format("change_raw")} AS change_score, {_P.format("spread")} AS spread_score FROM kept),
+sg AS (SELECT *, 0.5 * current_score + 0.3 * change_score + 0.2 * spread_score AS signal, least(15.0, greatest(0.0, (max_share - 0.5) * 30)) + CASE WHEN noise = '일반 경영' THEN 2.0 ELSE 0.0 END AS penalty FROM pc),
+rk AS (SELECT *, signal - penalty AS final_score, row_number() OVER (ORDER BY signal - penalty DESC, keyword)::INT AS final_rank FROM sg),
+sector AS (SELECT * FROM rk WHERE NOT (keyword IN ('재고') AND keyword IN (SELECT unnest(string_split(keyword, ' ')) FROM rk WHERE contains(keyword, ' ')))),
+cloud AS (SELECT *, min(final_score) OVER () AS lo, max(final_score) OVER () AS hi, count(*) OVER () AS size FROM sector WHERE final_rank <= 30),
+wt AS (SELECT *, CASE WHEN size = 1 THEN 100.0 WHEN hi > lo THEN 30 + 70 * (0.7 * ((final_score - lo) / (hi - lo)) * ((final_score - lo) / (hi - lo)) + 0.3 * (1 - (final_rank - 1) / (size - 1))) ELSE 30 + 70 * (1 - (final_rank - 1) / (size - 1)) END AS weight FROM cloud),
+hot AS (SELECT keyword FROM sector WHERE final_rank <= 30 AND change_score >= 90 AND change_raw > 0 ORDER BY change_raw DESC, change_score DESC, final_score DESC, final_rank, keyword LIMIT 3)"""
+
+
+@R.add("K9_signal", f"WITH {SQL_SECTOR} SELECT keyword, round(signal, 6)::DOUBLE AS signal, round(penalty, 6)::DOUBLE AS penalty, round(final_score, 6)::DOUBLE AS final_score, final_rank FROM sector")
 def k9(t: Tables) -> DataFrame:
     return sector_scores(t).select("keyword", r6("signal").alias("signal"), r6("penalty").alias("penalty"), r6("final_score").alias("final_score"), "final_rank")
 
@@ -137,16 +153,25 @@ def k11(t: Tables) -> DataFrame:
     return h.join(F.broadcast(top), "keyword").groupBy("keyword", "corp_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("K18_spelling_merge", None)
+@R.add("K18_spelling_merge", f"WITH {_KW}, n AS (SELECT keyword, count(*) AS n FROM hits GROUP BY 1), k AS (SELECT *, lower(regexp_replace(keyword, '[\\s\\-_/·.&+]', '', 'g')) AS key, length(regexp_replace(keyword, '[^A-Z]', '', 'g')) AS capitals FROM n) SELECT key, arg_max(keyword, (n, capitals, length(keyword), keyword)) AS keyword, sum(n)::BIGINT AS n FROM k GROUP BY 1")
 def k18(t: Tables) -> DataFrame:
     n = hits(t).groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).withColumn("scope", F.lit(0))
     return sg.merge_spellings(n, ["scope"]).drop("scope")
 
 
-@R.add("K21_context_diversity", None)
+_SIGN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[‐-―]', '-', 'g'), '[‘’“”\"]', chr(39), 'g'), '[0-9][0-9.,]*', '#', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = "regexp_full_match(text, '[ -~가-힣\\s]*')"
+
+
+# NFKC is not in SQL: compared are the chunks whose text it leaves as it is
+@R.add("K21_context_diversity", f"""WITH {_KW}, x AS (SELECT chunk_id, {_SIGN} AS context FROM chunks WHERE text IS NOT NULL AND {_PLAIN}), st AS (SELECT chunk_id, list(DISTINCT keyword ORDER BY keyword) AS cooc FROM hits GROUP BY 1),
+d AS (SELECT keyword, count(DISTINCT chunk_id) AS n, count(DISTINCT context) AS contexts, count(DISTINCT cooc) AS sets FROM hits JOIN x USING (chunk_id) JOIN st USING (chunk_id) GROUP BY 1),
+a AS (SELECT keyword, n, contexts / n AS c2, sets / n AS c3, least(1.0, n / 10.0)::DOUBLE AS support, round((contexts / n * 0.4 + sets / n * 0.6) * least(1.0, n / 10.0), 9)::DOUBLE AS adjusted FROM d)
+SELECT keyword, n, round(c2, 9) AS c2, round(c3, 9) AS c3, support, adjusted, round({_P.format("adjusted")}, 6)::DOUBLE AS score FROM a""")
 def k21(t: Tables) -> DataFrame:
-    d = sg.context_diversity(hits(t).select("keyword", "chunk_id"), b.chunks(t, "text"))
-    return d.withColumn("score", rk.percentile_score(F.col("adjusted"), []))
+    texts = b.chunks(t, "text").filter("text IS NOT NULL").filter(F.col("text").rlike("^[ -~가-힣\\s]*\\z"))
+    d = sg.context_diversity(hits(t).select("keyword", "chunk_id"), texts).withColumn("adjusted", F.round("adjusted", 9))
+    return d.select("keyword", "n", F.round("c2", 9).alias("c2"), F.round("c3", 9).alias("c3"), "support", "adjusted", r6(rk.percentile_score(F.col("adjusted"), [])).alias("score"))
 
 
 _FILED = "fd AS (SELECT corp_code, regexp_replace(rcept_no, '[^0-9]', '', 'g') AS r, max(rcept_dt) AS dt FROM filings WHERE corp_code IS NOT NULL GROUP BY 1, 2)"
@@ -161,7 +186,7 @@ def k23(t: Tables) -> DataFrame:
     return sg.related_filings(c, d, "온실가스 배출량", {"특허권": "온실가스  배출량"})
 
 
-@R.add("K24_wordcloud_items", None)
+@R.add("K24_wordcloud_items", f"WITH {SQL_SECTOR} SELECT keyword AS text, round(weight, 6)::DOUBLE AS weight, keyword IN (FROM hot) AS hot, current AS count, round(final_score, 6)::DOUBLE AS score FROM wt")
 def k24(t: Tables) -> DataFrame:
     top = sector_scores(t).filter("final_rank <= 30")
     w = rk.hot_flags(top.withColumn("weight", rk.display_weight(F.col("final_score"), F.col("final_rank"), ["sector"])), ["sector"], 30)
@@ -268,7 +293,7 @@ def w11(t: Tables) -> DataFrame:
     return rk.budgeted_round_robin(e, ["year"], "corp_code", [F.col("chunk_id")], F.length("text"), 4000).select("year", "corp_code", "chunk_id", "position")
 
 
-@R.add("V8_historical_anchors", None)
+@R.add("V8_historical_anchors", f"WITH {b.SQL_CHUNKS}, {_TOPICS.split(', te AS')[0]}, s AS (SELECT corp_code, year, report_type, chunk_id, max(score) AS score FROM tp WHERE score > 0 GROUP BY ALL), w AS (SELECT DISTINCT corp_code, report_type FROM s WHERE year = 2025 ORDER BY corp_code, report_type LIMIT 4) SELECT DISTINCT ON (corp_code, report_type) corp_code, report_type, year, chunk_id FROM s JOIN w USING (corp_code, report_type) WHERE year = 2024 ORDER BY corp_code, report_type, score DESC, chunk_id")
 def v8(t: Tables) -> DataFrame:
     s = topic_scores(t).groupBy("corp_code", "year", "report_type", "chunk_id").agg(F.max("score").alias("score"))
     scopes = s.filter("year = 2025").select("corp_code", "report_type", "year").distinct()

@@ -12,6 +12,7 @@ from ledgerloom.operators import market as mk
 from ledgerloom.operators import quarters as qx
 from ledgerloom.operators import ranking as rk
 from ledgerloom.plans import base as b
+from ledgerloom.plans.signals import SQL_SECTOR
 from ledgerloom.plans.registry import Registry, Tables
 from ledgerloom.plans.relational import _TAGGED
 
@@ -60,7 +61,7 @@ def w6(t: Tables) -> DataFrame:
     return p.withColumn("position", F.row_number().over(Window.partitionBy("corp_code", "year").orderBy(rk.ordinal(F.col("report_type"), fx.REPORT_ORDER))))
 
 
-@R.add("W12_hot_flags", None)
+@R.add("W12_hot_flags", f"WITH {SQL_SECTOR} SELECT 'all' AS sector, keyword, final_rank, keyword IN (FROM hot) AS hot FROM sector")
 def w12(t: Tables) -> DataFrame:
     from ledgerloom.plans.signals import sector_scores
 
