@@ -66,22 +66,24 @@ def lexical_text(text: str) -> str:
     return "".join(html.unescape(ELEMENT.sub("", text)).split())
 
 
-def grid(rows: list[list[dict]], bound: int = 100) -> list[dict]:
-    """Cells with their place on the grid; a cell spanning rows or columns occupies them, an overlap is an error."""
-    taken: set[tuple[int, int]] = set()
+def grid(rows: list[list[dict]]) -> list[dict]:
+    """Cells with their place on the grid; a cell spanning rows or columns occupies them, an overlap is an error.
+
+    Spans are kept as intervals per row, so their size costs nothing; a rowspan
+    ends with the table.
+    """
+    taken: list[list[tuple[int, int]]] = [[] for _ in rows]
     out = []
     for r, cells in enumerate(rows):
         c = 0
         for cell in cells:
-            height, width = cell["rowspan"] or 1, cell["colspan"] or 1
-            if height > bound or width > bound:
-                raise ValueError("span out of bounds")
-            while (r, c) in taken:
-                c += 1
-            area = {(r + i, c + j) for i in range(height) for j in range(width)}
-            if taken & area:
-                raise ValueError("cells overlap")
-            taken |= area
+            height, width = max(1, cell["rowspan"] or 1), max(1, cell["colspan"] or 1)
+            while (hit := next((stop for start, stop in taken[r] if start <= c < stop), None)) is not None:
+                c = hit
+            for row in taken[r : r + height]:
+                if any(start < c + width and c < stop for start, stop in row):
+                    raise ValueError("cells overlap")
+                row.append((c, c + width))
             out.append({**cell, "row": r, "column": c})
             c += width
     return out
@@ -149,20 +151,35 @@ def carried_labels(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(carried, [*keys, "row"], "left")
 
 
+TERM = re.compile(r"제\s*(\d+)\s*\(?(?:기|분기|반기)|(당기|당분기|당반기)")
+
+
+def current_term(cells: list[dict]) -> int:
+    """The column of the current term: headed by the highest term number or by the words for the current one, else the first after the labels."""
+    best = (-1, 1)
+    for c in cells:
+        m = TERM.search(c["text"] or "")
+        if m and c["column"] > 0:
+            best = max(best, (10**6 if m[2] else int(m[1]), -c["column"]), key=lambda x: (x[0], x[1]))
+    return -best[1] if best[0] >= 0 else 1
+
+
 def statement_facts(raw: bytes | None) -> list[tuple[str, str, str, int, int]]:
     """(statement, basis, label, value, column) of the statement tables of one document.
 
-    The heading before a table tells the statement and basis, one declared unit
-    the multiplier; only the column of the current term counts (the first after
-    the labels) and a row needs exactly one number there.
+    The heading between the table before and this one tells the statement and
+    basis, one declared unit the multiplier; only the column of the current term
+    counts and a row needs exactly one number there.  A table whose cells
+    overlap, or without one known unit, gives nothing and harms no other.
     """
     if not raw:
         return []
     text = decode(raw)
-    spans = [m for m in re.finditer(r"<table\b.*?</table\s*>", text, re.S | re.I)]
     out = []
-    for m in spans:
-        before = re.sub(r"<[^>]*>", " ", text[max(0, m.start() - 400) : m.start()])
+    end = 0
+    for m in re.finditer(r"<table\b.*?</table\s*>", text, re.S | re.I):
+        before = re.sub(r"<[^>]*>", " ", text[end : m.start()])
+        end = m.end()
         heading = re.sub(r"\s+", "", before)
         found = [(heading.rfind(word), kind) for kind, word in STATEMENTS if word in heading]
         if not found:
@@ -173,10 +190,17 @@ def statement_facts(raw: bytes | None) -> list[tuple[str, str, str, int, int]]:
         if len(units) != 1 or (unit := units.pop()) not in AMOUNT_UNITS:
             continue
         table = parse_document(m[0].encode())["tables"]
-        for r in grid([x["cells"] for x in table[0]["rows"]]) if table else []:
-            if r["column"] == 1 and (value := number(r["text"], AMOUNT_UNITS[unit])) is not None:
-                label = next((c["text"] for c in table[0]["rows"][r["row"]]["cells"][:1]), "")
-                out.append((kind, basis, re.sub(r"\s+", "", label), value, 1))
+        try:
+            placed = grid([x["cells"] for x in table[0]["rows"]]) if table else []
+        except ValueError:
+            continue
+        term = current_term(placed)
+        for row in sorted({c["row"] for c in placed}):
+            cells = [c for c in placed if c["row"] == row]
+            values = [v for c in cells if c["column"] == term and (v := number(c["text"], AMOUNT_UNITS[unit])) is not None]
+            label = next((c["text"] for c in cells if c["column"] == 0), "")
+            if len(values) == 1:
+                out.append((kind, basis, re.sub(r"\s+", "", label), values[0], term))
     return out
 
 

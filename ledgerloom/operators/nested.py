@@ -59,7 +59,7 @@ def inner_text(raw: bytes) -> str:
 
 def span(attributes: dict[bytes, bytes], name: bytes) -> int:
     value = attributes.get(name, b"1").strip()
-    return int(value) if value.isdigit() and 0 < len(value) < 5 else 1
+    return min(int(value), 2**31 - 1) if value.isdigit() and 0 < len(value) < 20 and int(value) > 0 else 1
 
 
 def parse_document(raw: bytes | None) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.facts import REPORT_ORDER, default_value_type, exactly_one
+from ledgerloom.operators.facts import REPORT_ORDER, exactly_one
 from ledgerloom.operators.ranking import ordinal
 
 
@@ -14,6 +14,56 @@ def current_release(versions: DataFrame) -> DataFrame:
     return exactly_one(versions, [(F.col("is_current") == 1) & (F.col("validated") == 1)])
 
 
+def pinned_status(versions: DataFrame, hashes: list[str], present: list[DataFrame]) -> DataFrame:
+    """For every release what pinning it gives: usable, or why not.
+
+    A pinned release must be validated, equal the registered (current) one in
+    every column of ``hashes``, null equalling nothing, and have rows in each of
+    ``present`` (data_version and a count).  There is a row per release, so all
+    sides are tiny.
+    """
+    now = current_release(versions).select(*(F.col(c).alias(f"_{c}") for c in hashes))
+    rows = versions.join(F.broadcast(now))
+    counts = []
+    for i, df in enumerate(present):
+        name = next(c for c in df.columns if c != "data_version")
+        counts.append(F.coalesce(F.col(f"_n{i}"), F.lit(0)))
+        rows = rows.join(F.broadcast(df.select("data_version", F.col(name).alias(f"_n{i}"))), "data_version", "left")
+    status = F.lit("usable")
+    for n in counts:
+        status = F.when(n == 0, "absent").otherwise(status)
+    for c in reversed(hashes):
+        status = F.when(~F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)), f"{c} differs").otherwise(status)
+    return rows.select(*versions.columns, F.when(F.coalesce("validated", F.lit(0)) != 1, "not validated").otherwise(status).alias("status"))
+
+
+def equivalence(pairs: DataFrame, releases: DataFrame, log: DataFrame | None) -> DataFrame:
+    """How a selected release's financial content equals that of the registered one: registered, selected, equivalence.
+
+    ``releases`` has data_version, created_at, validated and content_hash.  Equal
+    hashes are the same content.  Otherwise only a logged patch counts that did
+    nothing but set document ids: the selected release is the validated one just
+    before the registered, and ``log`` (data_version, table_name, status,
+    rows_source, rows_inserted, rows_updated, rows_deactivated, finished_at) has
+    runs of the registered one, all of them finished and successful updates of
+    every row of ``financial_metric_values_document_id`` without an insert or
+    deactivation.
+    """
+    of = lambda name: releases.select(F.col("data_version").alias(name), F.col("content_hash").alias(f"_{name}"))
+    rows = pairs.join(F.broadcast(of("registered")), "registered", "left").join(F.broadcast(of("selected")), "selected", "left")
+    rows = rows.join(F.broadcast(preceding(releases).select(F.col("data_version").alias("registered"), "preceding")), "registered", "left")
+    patch = F.lit(False)
+    if log is not None:
+        clean = (
+            (F.col("table_name") == "financial_metric_values_document_id") & (F.col("status") == "success") & (F.col("rows_inserted") == 0) & (F.col("rows_deactivated") == 0) & (F.col("rows_updated") == F.col("rows_source")) & F.col("finished_at").isNotNull()
+        )
+        runs = log.groupBy(F.col("data_version").alias("registered")).agg(F.bool_and(F.coalesce(clean, F.lit(False))).alias("clean"))
+        rows = rows.join(F.broadcast(runs), "registered", "left")
+        patch = F.coalesce("clean", F.lit(False)) & F.coalesce(F.col("preceding") == F.col("selected"), F.lit(False))
+    same = F.coalesce(F.col("_registered") == F.col("_selected"), F.lit(False))
+    return rows.select("registered", "selected", F.when(same, "same content").when(patch, "document ids only").otherwise("content differs").alias("equivalence"))
+
+
 def preceding(versions: DataFrame) -> DataFrame:
     """Each release with the validated one just before it (a row per release: tiny)."""
     a = versions.select("data_version", "created_at")
@@ -73,5 +123,3 @@ def period_union(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     grid = rows.select(*keys).distinct().join(F.broadcast(periods)).select(*keys, F.inline("p"))
     return grid.join(rows.select(*keys, "year", "quarter", value), [*keys, "year", "quarter"], "left")
 
-
-__all__ = ["default_value_type"]

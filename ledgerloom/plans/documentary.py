@@ -42,22 +42,45 @@ def _decoded(t: Tables) -> DataFrame:
 
 @R.add("D2_repair", None)
 def d2(t: Tables) -> DataFrame:
-    """Documents with the number of repaired places, and whether the text survived (D3)."""
+    """Documents with the number and places of the repairs; one with a type definition is refused and reported."""
 
     def scan(frames):
+        import pandas as pd
+
         for pdf in frames:
             out = []
             for k, text in zip(pdf["document_id"], pdf["text"], strict=True):
-                fixed, ledger = dx.repair(text or "")
-                out.append((k, len(ledger), dx.lexical_text(fixed) == dx.lexical_text(text or "")))
-            import pandas as pd
+                try:
+                    _, ledger = dx.repair(text or "")
+                    out.append((k, "repaired" if ledger else "well-formed", len(ledger), ledger[0][0] if ledger else None, ledger[-1][0] if ledger else None))
+                except ValueError as refused:
+                    out.append((k, str(refused), None, None, None))
+            yield pd.DataFrame(out, columns=["document_id", "status", "repairs", "first_at", "last_at"]).astype({c: "Int32" for c in ("repairs", "first_at", "last_at")})
+
+    return _decoded(t).mapInPandas(scan, "document_id string, status string, repairs int, first_at int, last_at int")
+
 
-            yield pd.DataFrame(out, columns=["document_id", "repairs", "lossless"])
+@R.add("D3_lossless_check", None)
+def d3(t: Tables) -> DataFrame:
+    """Whether the text of each document survived its repair, with its length and checksum; null for a refused one."""
 
-    return _decoded(t).mapInPandas(scan, "document_id string, repairs int, lossless boolean")
+    def scan(frames):
+        import zlib
+
+        import pandas as pd
 
+        for pdf in frames:
+            out = []
+            for k, text in zip(pdf["document_id"], pdf["text"], strict=True):
+                said = dx.lexical_text(text or "")
+                try:
+                    kept = dx.lexical_text(dx.repair(text or "")[0]) == said
+                except ValueError:
+                    kept = None
+                out.append((k, kept, len(said), zlib.crc32(said.encode("utf-8", "surrogatepass"))))
+            yield pd.DataFrame(out, columns=["document_id", "lossless", "characters", "checksum"]).astype({"lossless": "boolean"})
 
-R.add("D3_lossless_check", None)(d2)
+    return _decoded(t).mapInPandas(scan, "document_id string, lossless boolean, characters int, checksum bigint")
 
 
 @R.add("D4_blocks", None)
@@ -242,6 +265,27 @@ def q1(t: Tables) -> DataFrame:
     return rl.current_release(t.data_versions).select("data_version", "index_version")
 
 
+_PRESENT = "present AS (SELECT data_version, sum(c)::BIGINT AS chunks, sum(v)::BIGINT AS periods FROM (SELECT data_version, 1 AS c, 0 AS v FROM chunk_metadata_history WHERE is_searchable = 1 UNION ALL SELECT data_version, 0, 1 FROM coverage) GROUP BY 1)"
+
+
+@R.add("Q1_pinned_release", f"WITH cur AS (SELECT * FROM data_versions WHERE is_current = 1 AND validated = 1), {_PRESENT} SELECT r.data_version, CASE WHEN r.validated <> 1 THEN 'not validated' WHEN r.index_version IS DISTINCT FROM cur.index_version THEN 'index_version differs' WHEN coalesce(chunks, 0) = 0 OR coalesce(periods, 0) = 0 THEN 'absent' ELSE 'usable' END AS status FROM data_versions r CROSS JOIN cur LEFT JOIN present p ON p.data_version = r.data_version")
+def q1_pinned(t: Tables) -> DataFrame:
+    """What pinning each release would give."""
+    chunks = t.chunk_metadata_history.filter("is_searchable = 1").groupBy("data_version").agg(F.count(F.lit(1)).alias("chunks"))
+    periods = t.coverage.groupBy("data_version").agg(F.count(F.lit(1)).alias("periods"))
+    return rl.pinned_status(t.data_versions, ["index_version"], [chunks, periods]).select("data_version", "status")
+
+
+@R.add("Q2_release_equivalence", "WITH v AS (SELECT *, row_number() OVER (ORDER BY created_at) AS i FROM data_versions WHERE validated = 1), c AS (SELECT data_version, md5(string_agg(concat_ws('/', corp_code, year, report_type, fs_div, filing_exists, status), ';' ORDER BY corp_code, year, report_type, fs_div, filing_exists, status)) AS h FROM (SELECT DISTINCT data_version, corp_code, year, report_type, fs_div, filing_exists, status FROM coverage) GROUP BY 1) SELECT a.data_version AS registered, p.data_version AS selected, CASE WHEN ca.h = cp.h THEN 'same content' ELSE 'content differs' END AS equivalence FROM v a JOIN v p ON p.i = a.i - 1 LEFT JOIN c ca ON ca.data_version = a.data_version LEFT JOIN c cp ON cp.data_version = p.data_version")
+def q2_equivalence(t: Tables) -> DataFrame:
+    """Each validated release against the one before; there is no log of patches here, so nothing but equal content counts."""
+    once = t.coverage.select("data_version", "corp_code", "year", "report_type", "fs_div", "filing_exists", "status").distinct()
+    hashes = rl.fingerprint(once, ["data_version"]).select("data_version", F.concat_ws("-", "n", "xor", "total").alias("content_hash"))
+    valid = t.data_versions.filter("validated = 1")
+    pairs = rl.preceding(valid).filter("preceding IS NOT NULL").select(F.col("data_version").alias("registered"), F.col("preceding").alias("selected"))
+    return rl.equivalence(pairs, valid.join(F.broadcast(hashes), "data_version", "left"), None)
+
+
 @R.add("Q2_preceding_release", "SELECT a.data_version, (SELECT p.data_version FROM data_versions p WHERE p.created_at < a.created_at AND p.validated = 1 ORDER BY p.created_at DESC LIMIT 1) AS preceding FROM data_versions a")
 def q2(t: Tables) -> DataFrame:
     return rl.preceding(t.data_versions).select("data_version", "preceding")
@@ -286,14 +330,14 @@ def q6(t: Tables) -> DataFrame:
 # Composite queries
 
 
-@R.add("X1_financials", f"WITH {b.SQL_SLOTS} SELECT corp_code, metric, basis, value_type, value FROM slots WHERE corp_code = '00000009' AND year = 2022 AND report_type = 'FY'")
+@R.add("X1_financials", f"WITH {b.SQL_SLOTS} SELECT corp_code, metric, basis, value_type, value FROM slots WHERE corp_code = '00000027' AND year = 2020 AND report_type = 'FY'")
 def x1(t: Tables) -> DataFrame:
-    return rl.financials(b.slots(t), "00000009", 2022).select("corp_code", "metric", "basis", "value_type", "value")
+    return rl.financials(b.slots(t), "00000027", 2020).select("corp_code", "metric", "basis", "value_type", "value")
 
 
-@R.add("X2_quarterly_trend", f"WITH {b.SQL_SLOTS} SELECT year, report_type, basis, value FROM slots WHERE corp_code = '00000009' AND metric = 'REVENUE' AND value_type = 'cumulative'")
+@R.add("X2_quarterly_trend", f"WITH {b.SQL_SLOTS} SELECT year, report_type, basis, value FROM slots WHERE corp_code = '00000025' AND metric = 'REVENUE' AND value_type = 'cumulative'")
 def x2(t: Tables) -> DataFrame:
-    return rl.trend(b.slots(t), "00000009", "REVENUE", "cumulative").select("year", "report_type", "basis", "value")
+    return rl.trend(b.slots(t), "00000025", "REVENUE", "cumulative").select("year", "report_type", "basis", "value")
 
 
 @R.add("X3_capex", f"WITH {b.SQL_FACTS}, {b.SQL_COMPANIES} SELECT metric_value_id, corp_name, year, report_type, value FROM facts JOIN companies USING (corp_code) WHERE metric = 'CAPEX'")

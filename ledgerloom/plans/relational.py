@@ -234,10 +234,10 @@ def j10(t: Tables) -> DataFrame:
     return b.chunks(t, "rcept_no").join(d, "rcept_no").join(f, "rcept_no").select("chunk_id", "document_id", "corp_code")
 
 
-@R.add("J11_series_anti", f"WITH {b.SQL_FACTS} SELECT DISTINCT corp_code, year, basis, metric FROM facts f WHERE source_kind <> 'DOCUMENT_EXTRACTED' AND NOT EXISTS (SELECT 1 FROM facts x WHERE x.source_kind = 'DOCUMENT_EXTRACTED' AND x.corp_code = f.corp_code AND x.year = f.year AND x.basis = f.basis)")
+@R.add("J11_series_anti", f"WITH {b.SQL_FACTS} SELECT DISTINCT corp_code, year, basis, metric FROM facts f WHERE source_kind <> 'DOCUMENT_EXTRACTED' AND NOT EXISTS (SELECT 1 FROM facts x WHERE x.source_kind = 'DOCUMENT_EXTRACTED' AND x.corp_code = f.corp_code AND x.year = f.year AND x.basis = f.basis AND x.metric = f.metric)")
 def j11(t: Tables) -> DataFrame:
-    primary = b.facts(t).filter("source_kind = 'DOCUMENT_EXTRACTED'").select("corp_code", "year", "basis").distinct()
-    return b.facts(t).filter("source_kind <> 'DOCUMENT_EXTRACTED'").select("corp_code", "year", "basis", "metric").distinct().join(primary, ["corp_code", "year", "basis"], "left_anti")
+    primary = b.facts(t).filter("source_kind = 'DOCUMENT_EXTRACTED'").select("corp_code", "year", "basis", "metric").distinct()
+    return b.facts(t).filter("source_kind <> 'DOCUMENT_EXTRACTED'").select("corp_code", "year", "basis", "metric").distinct().join(primary, ["corp_code", "year", "basis", "metric"], "left_anti")
 
 
 @R.add("J12_previous_year", f"WITH {b.SQL_SLOTS} SELECT a.corp_code, a.year, a.report_type, a.basis, a.metric, a.value_type, a.value, p.value AS prev_value FROM slots a LEFT JOIN slots p ON a.corp_code = p.corp_code AND a.report_type = p.report_type AND a.basis = p.basis AND a.metric = p.metric AND a.value_type = p.value_type AND p.year = a.year - 1")
@@ -396,9 +396,11 @@ def u6(t: Tables) -> DataFrame:
     return b.chunks(t, "keyword").filter("keyword IS NOT NULL").select("chunk_id", F.size(words).alias("all_words"), F.size(F.array_intersect(words, F.array(F.lit("사업"), F.lit("매출")))).alias("common_words"))
 
 
-@R.add("U7_missing_members", f"WITH {b.SQL_COMPANIES} SELECT DISTINCT corp_code FROM filings WHERE corp_code NOT IN (SELECT corp_code FROM companies) AND corp_code IS NOT NULL")
+@R.add("U7_missing_members", "SELECT DISTINCT corp_code, year, report_type FROM filings f WHERE corp_code IS NOT NULL AND year IS NOT NULL AND report_type IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk_metadata c WHERE c.corp_code = f.corp_code AND c.year = f.year AND c.report_type = f.report_type)")
 def u7(t: Tables) -> DataFrame:
-    return t.filings.filter("corp_code IS NOT NULL").select("corp_code").distinct().join(b.companies(t).select("corp_code"), "corp_code", "left_anti")
+    """Company periods that filed and are not built into chunks."""
+    period = ["corp_code", "year", "report_type"]
+    return t.filings.select(*period).dropna().distinct().join(t.chunk_metadata.select(*period), period, "left_anti")
 
 
 @R.add("A5_document_frequency", f"WITH {b.SQL_CHUNKS}, k AS (SELECT DISTINCT chunk_id, year, trim(unnest(string_split(keyword, ',')), ' ') AS word FROM chunks WHERE keyword IS NOT NULL) SELECT word, year, count(*) AS n FROM k WHERE word <> '' GROUP BY 1, 2")

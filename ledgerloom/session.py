@@ -1,11 +1,8 @@
-"""Session building and lineage cutting."""
+"""Session building and the cluster's shared folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "ledgerloom", **conf: object) -> SparkSession:
@@ -28,15 +25,9 @@ def build_session(master: str = "local[*]", app: str = "ledgerloom", **conf: obj
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests) a local folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoint")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; an error where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")

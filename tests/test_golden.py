@@ -12,6 +12,7 @@ from ledgerloom.operators import documents as dx
 from ledgerloom.operators import market as mk
 from ledgerloom.operators import quarters as qx
 from ledgerloom.operators import ranking as rk
+from ledgerloom.operators import releases as rl
 from ledgerloom.operators import retrieval as rt
 from ledgerloom.operators import signals as sg
 
@@ -156,3 +157,26 @@ def test_round_robin_skips_what_overflows(spark):
     df = spark.createDataFrame([("s", "a", 1, 50), ("s", "b", 2, 60), ("s", "a", 3, 30), ("s", "b", 4, 20)], "s string, lane string, id int, n int")
     kept = rk.budgeted_round_robin(df, ["s"], "lane", [F.col("id")], F.col("n"), 100)
     assert sorted(r.id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_release_equivalence_and_pinning(spark):
+    v = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1, "h1", "i", 0), ("b", dt.datetime(2024, 2, 1), 1, "h2", "i", 0), ("c", dt.datetime(2024, 3, 1), 1, "h2", "j", 0), ("d", dt.datetime(2024, 4, 1), 1, None, "i", 1), ("e", dt.datetime(2024, 5, 1), 0, "h1", "i", 0)], "data_version string, created_at timestamp_ntz, validated int, content_hash string, index_version string, is_current int")
+    pairs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("d", "a")], "registered string, selected string")
+    run = ("financial_metric_values_document_id", "success", 5, 0, 5, 0, dt.datetime(2024, 1, 1))
+    schema = "data_version string, table_name string, status string, rows_source int, rows_inserted int, rows_updated int, rows_deactivated int, finished_at timestamp_ntz"
+    log = spark.createDataFrame([("b", *run), ("d", *run), ("d", "financial_metric_values_document_id", "success", 5, 1, 5, 0, dt.datetime(2024, 1, 1))], schema)
+    got = {(r.registered, r.selected): r.equivalence for r in rl.equivalence(pairs, v, log).collect()}
+    # a patch of ids only counts for the release just before; d's second run inserted a row
+    assert got == {("b", "a"): "document ids only", ("c", "b"): "same content", ("c", "a"): "content differs", ("d", "c"): "content differs", ("d", "a"): "content differs"}
+    rows = spark.createDataFrame([("a", 3), ("c", 1), ("d", 2), ("e", 1)], "data_version string, n bigint")
+    status = {r.data_version: r.status for r in rl.pinned_status(v, ["index_version"], [rows]).collect()}
+    assert status == {"a": "usable", "b": "absent", "c": "index_version differs", "d": "usable", "e": "not validated"}
+
+
+def test_statement_cells_by_term_and_bad_tables(spark):
+    table = lambda rows: "<TABLE>" + "".join("<TR>" + "".join(f"<TD>{c}</TD>" for c in r) + "</TR>" for r in rows) + "</TABLE>"
+    good = "<P>연결 재무상태표 (단위: 천원)</P>" + table([["과목", "제 11 기", "제 12 기"], ["자산 총계", "1,000", "(2,000)"], ["비고", "x", "y"]])
+    bad = "<P>손익계산서 (단위: 원)</P><TABLE><TR><TD ROWSPAN='2'>a</TD><TD>b</TD></TR><TR><TD>c</TD><TD COLSPAN='2'>d</TD></TR><TR><TD ROWSPAN='9'>e</TD></TR></TABLE>"
+    assert dx.statement_facts((bad + good).encode()) [-1:] == [("BS", "CFS", "자산총계", -2_000_000, 2)]
+    wide = dx.grid([[{"rowspan": 10**9, "colspan": 10**9, "text": "x"}], [{"rowspan": 1, "colspan": 1, "text": "y"}]])
+    assert [(c["row"], c["column"]) for c in wide] == [(0, 0), (1, 10**9)]

@@ -58,15 +58,21 @@ def test_vector_blobs(spark):
     assert b.select(vectors.decode_vectors("b", 3).alias("v")).filter("v IS NOT NULL").count() == 0
 
 
-def test_ingest_gives_final_days_once(spark, tmp_path):
+def test_ingest_upserts_late_values_and_replays(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
-    rows = [(i, t + dt.timedelta(days=i // 2, hours=i % 2), 1, "a", float(i), None) for i in range(40)]
-    spark.createDataFrame(rows, ingest.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in")
-    for _ in range(2):
-        ingest.run_once(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = {r.day: r.close for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    # the last seven days may still change and are not final
-    assert got[dt.date(2024, 1, 1)] == 1.0 and max(got) <= dt.date(2024, 1, 13) and len(got) >= 11
+    write = lambda rows: spark.createDataFrame(rows, ingest.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: ingest.run_once(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    history = lambda: {(r.instrument, r.day): r.close for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    write([(i, t + dt.timedelta(days=i // 2, hours=i % 2), 1, "a", float(i), None) for i in range(80)])
+    run()
+    first = history()
+    # the last days are there at once
+    assert len(first) == 40 and first["a", dt.date(2024, 1, 1)] == 1.0 and first["a", dt.date(2024, 2, 9)] == 79.0
+    # months late: a later event of the first day wins, an earlier one does not; a null value counts for nothing
+    write([(100, t + dt.timedelta(hours=5), 1, "a", -1.0, None), (101, t + dt.timedelta(days=1), 1, "a", -2.0, None), (102, t + dt.timedelta(days=3, hours=9), 1, "a", None, None)])
+    run()
+    run()
+    assert history() == first | {("a", dt.date(2024, 1, 1)): -1.0}
 
 
 def observations(spark, rows):
