@@ -119,7 +119,7 @@ def encodable(wrong: str) -> Callable[[str], bool]:
     return test
 
 
-def sub_runs(run: str, wrong: str, memo: dict[tuple[str, str], bool]) -> Iterator[tuple[int, int]]:
+def sub_runs(run: str, wrong: str, memo: dict) -> Iterator[tuple[int, int]]:
     """Maximal parts of a non-ASCII run that the wrong codec can encode."""
     test = encodable(wrong)
     start = None
@@ -153,32 +153,52 @@ def _undoable_hangul() -> str:
 #: Runs with something else than Hangul syllables in them.
 SUSPECT_RUN = re.compile(r"(?<![^\x00-\x7f])[가-힣]*+[^\x00-\x7f가-힣][^\x00-\x7f]*")
 #: Runs of Hangul alone that a chain can undo: CP949 is the only wrong codec that makes Hangul, and each syllable must be one character of it.
-HANGUL_RUN = re.compile(r"(?<![^\x00-\x7f])[" + _undoable_hangul() + r"]{2,}+(?![^\x00-\x7f])")
+HANGUL_RUN = re.compile("[" + _undoable_hangul() + r"]{2,}+(?![^\x00-\x7f])")
+#: What runs and characters came to is kept for so many of them.
+MEMO = 300_000
 CHAINS = [(wrong, true) for wrong in (*SINGLE, *MULTI) for true in TRUE if wrong != true]
 
 
-def candidates(text: str, memo: dict[tuple[str, str], bool], hangul: bool = True) -> list[tuple[int, int, str, str]]:
+def undone_run(run: str, memo: dict) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, replacement, chain) of every part of a run that a chain of one or two steps can undo."""
+    for wrong in (*SINGLE, *MULTI):
+        for start, end in sub_runs(run, wrong, memo):
+            if end - start < 2:
+                continue
+            part = run[start:end]
+            for true in TRUE:
+                if wrong == true:
+                    continue
+                fixed = undo(part, wrong, true)
+                if fixed is None:
+                    continue
+                yield start, end, fixed, f"{wrong}>{true}"
+                first = next((ch for ch in fixed if not ch.isascii()), None)
+                for w, t in CHAINS if first is not None else ():
+                    # a second step must be able to encode the first character at least
+                    if (ok := memo.get((w, first))) is None:
+                        ok = memo[w, first] = encodable(w)(first)
+                    if ok and (again := repeat(fixed, w, t)) is not None:
+                        yield start, end, again, f"{wrong}>{true} {w}>{t}"
+
+
+def candidates(text: str, memo: dict, hangul: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, replacement, chain) of every run that a chain can undo."""
     found = []
     for m in SUSPECT_RUN.finditer(text):
         run = m[0]
         if len(run) < 2:
             continue
-        for wrong in (*SINGLE, *MULTI):
-            for start, end in sub_runs(run, wrong, memo):
-                if end - start < 2:
-                    continue
-                part = run[start:end]
-                for true in TRUE:
-                    if wrong == true:
-                        continue
-                    fixed = undo(part, wrong, true)
-                    if fixed is None:
-                        continue
-                    at = (m.start() + start, m.start() + end)
-                    found.append((*at, fixed, f"{wrong}>{true}"))
-                    found += [(*at, again, f"{wrong}>{true} {w}>{t}") for w, t in CHAINS if (again := repeat(fixed, w, t)) is not None]
+        undone = memo.get(run)
+        if undone is None:
+            if len(memo) > MEMO:
+                memo.clear()
+            undone = memo[run] = list(undone_run(run, memo))
+        found += [(m.start() + start, m.start() + end, fixed, chain) for start, end, fixed, chain in undone]
     for m in HANGUL_RUN.finditer(text) if hangul else ():
+        # asked here, as the pattern is faster without a look behind at every character
+        if m.start() and not text[m.start() - 1].isascii():
+            continue
         fixed = undo(m[0], "cp949", "utf-8")
         if fixed is not None:
             found.append((m.start(), m.end(), fixed, "cp949>utf-8"))
@@ -240,7 +260,7 @@ class Model:
         return self.log_likelihood(before + replacement + after) - self.log_likelihood(before + text[start:end] + after)
 
 
-def spotless(text: str, memo: dict[tuple[str, str], bool]) -> bool:
+def spotless(text: str, memo: dict) -> bool:
     """Nothing lost and nothing that a chain could undo: a record to train on."""
     return text.isascii() and not QUESTION_RUN.search(text) or not (LOST.search(text) or QUESTION_RUN.search(text) or candidates(text, memo, hangul=False))
 
@@ -250,7 +270,7 @@ def train(texts: DataFrame) -> tuple[Model, Model]:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 65536 + BUCKETS), dtype=np.int64)
-        memo: dict[tuple[str, str], bool] = {}
+        memo: dict = {}
         for pdf in frames:
             for held in (False, True):
                 # counted a batch at a time, line ends between the texts
@@ -268,7 +288,7 @@ def train(texts: DataFrame) -> tuple[Model, Model]:
     return Model(every[:65536], every[65536:]), Model(flat[0, :65536], flat[0, 65536:])
 
 
-def best_repairs(text: str, model: Model, margin: float, memo: dict[tuple[str, str], bool]) -> list[tuple[int, int, str, str, float]]:
+def best_repairs(text: str, model: Model, margin: float, memo: dict) -> list[tuple[int, int, str, str, float]]:
     """The likeliest accepted replacement of every run, not overlapping, in order."""
     scored = [(model.gain(text, s, e, r), s, e, r, c) for s, e, r, c in candidates(text, memo)]
     taken: list[tuple[int, int, str, str, float]] = []
@@ -278,7 +298,7 @@ def best_repairs(text: str, model: Model, margin: float, memo: dict[tuple[str, s
     return sorted(taken + followers(text, model, taken, memo))
 
 
-def followers(text: str, model: Model, taken: list[tuple[int, int, str, str, float]], memo: dict[tuple[str, str], bool]) -> list[tuple[int, int, str, str, float]]:
+def followers(text: str, model: Model, taken: list[tuple[int, int, str, str, float]], memo: dict) -> list[tuple[int, int, str, str, float]]:
     """What the chains accepted in a text undo elsewhere in it: too short to be accepted alone, any gain will do."""
     chains = dict.fromkeys(c for *_, c, _ in sorted(taken, key=lambda t: -t[4]) if " " not in c)
     more: list[tuple[int, int, str, str, float]] = []
@@ -295,7 +315,7 @@ def followers(text: str, model: Model, taken: list[tuple[int, int, str, str, flo
     return more
 
 
-def repair(text: str | None, model: Model, margin: float, memo: dict[tuple[str, str], bool]) -> tuple[str, str | None, str | None] | None:
+def repair(text: str | None, model: Model, margin: float, memo: dict) -> tuple[str, str | None, str | None] | None:
     """(status, restored text, chains) of a garbled text; null for a clean one."""
     if not text:
         return None
@@ -319,7 +339,7 @@ def repair(text: str | None, model: Model, margin: float, memo: dict[tuple[str,
 GARBLERS: tuple[tuple[str, str], ...] = (("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("cp949", "latin-1"), ("cp949", "gbk"))
 
 
-def gains_of(text: str, model: Model, memo: dict[tuple[str, str], bool]) -> tuple[float, float] | None:
+def gains_of(text: str, model: Model, memo: dict) -> tuple[float, float] | None:
     """The gains a character of the right repair and of the best wrong one of a clean text with a word garbled on purpose.
 
     Word and garbling follow from the text; none if it has no word to garble so.
@@ -347,7 +367,7 @@ def validate(texts: DataFrame, shared: Broadcast) -> tuple[np.ndarray, np.ndarra
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
-        memo: dict[tuple[str, str], bool] = {}
+        memo: dict = {}
         bins = np.zeros((2, BINS), dtype=np.int64)
         for pdf in frames:
             for text in pdf["text"]:
@@ -399,7 +419,7 @@ def find_garbled(documents: DataFrame, id_column: str = "doc_id", text_column: s
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unigrams, bigrams, accepted = shared.value
         known = Model(unigrams, bigrams)
-        seen: dict[tuple[str, str], bool] = {}
+        seen: dict = {}
         for pdf in frames:
             found = [(key, *result) for key, text in zip(pdf["id"], pdf["text"], strict=True) if (result := repair(text, known, accepted, seen))]
             yield pd.DataFrame(found, columns=["id", "status", "restored", "chains"])
