@@ -45,6 +45,36 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector_
     return top_per_group(scored, ["query_id", *(group or [])], [F.desc("score"), F.col(id_column)], k)
 
 
+#: Hits a scoped search may ask for.
+MAX_HITS = 40
+
+
+def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str, dim: int) -> DataFrame:
+    """One row per id of the vectors that have ``dim`` finite numbers, not all zero: id_column, vector_column."""
+    finite = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = vectors.filter(F.col(id_column).isNotNull() & (F.size(vector_column) == dim) & finite & F.exists(vector_column, lambda x: x != 0))
+    return good.groupBy(id_column).agg(F.min_by(vector_column, F.xxhash64(vector_column)).alias(vector_column))
+
+
+def scoped_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, scope: list[str], vector_id: str = "vector_id", vector: str = "embedding") -> DataFrame:
+    """The k chunks of every scope that are most similar to each query, with the scope's coverage.
+
+    ``chunks`` has chunk_id, ``vector_id`` and the scope's columns, ``vectors`` the
+    usable vectors by ``vector_id``, ``queries`` query_id and query_vector.  Chunks
+    are filtered before they are scored; ``searchable`` and ``covered`` count the
+    scope's chunks and those with a vector.  ``k`` must be between 1 and MAX_HITS.
+    """
+    if not 1 <= k <= MAX_HITS:
+        raise ValueError(f"k must be between 1 and {MAX_HITS}")
+    held = chunks.select("chunk_id", *scope, vector_id).join(vectors.select(vector_id, vector), vector_id, "left")
+    coverage = held.groupBy(*scope).agg(F.count(F.lit(1)).alias("searchable"), F.count(vector).alias("covered"))
+    there = held.filter(F.col(vector).isNotNull()).withColumn("_n", norm(F.col(vector)))
+    asked = [part.withColumn("_q", norm(F.col("query_vector"))) for part in query_blocks(queries)]
+    scored = [there.join(F.broadcast(part)).select("query_id", *scope, "chunk_id", (dot(F.col(vector), F.col("query_vector")) / (F.col("_n") * F.col("_q"))).alias("score")) for part in asked]
+    found = reduce(DataFrame.unionByName, scored).withColumn("score", F.round("score", 9))
+    return top_per_group(found, ["query_id", *scope], [F.desc("score"), F.col("chunk_id")], k).join(coverage, scope)
+
+
 def vector_contract(vectors: DataFrame, id_column: str, vector_column: str, dim: int, tolerance: float = 2e-3) -> DataFrame:
     """One row of counts: rows, distinct ids, wrong shapes, not finite, not of unit length."""
     v = F.col(vector_column)

@@ -1,4 +1,4 @@
 """Registered queries: each with its Spark callable and, where SQL can say it, the same in SQL."""
 
 #: Modules of this package that register queries.
-MODULES = ("problems", "relational", "windows", "signals", "documentary", "company")
+MODULES = ("problems", "relational", "windows", "signals", "documentary", "company", "sources")

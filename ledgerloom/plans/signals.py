@@ -244,10 +244,28 @@ def w18(t: Tables) -> DataFrame:
     return rt.lexical_top_k(b.chunks(t, "text"), "text", TERMS, "chunk_id", 25).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@R.add("V6_scoped_search", f"WITH {b.SQL_CHUNKS}, {_LEX} SELECT c.chunk_id, round(score, 6)::DOUBLE AS score FROM lx JOIN chunks c USING (chunk_id) WHERE score > 0 AND corp_code = '00000990' AND is_active = 1 AND is_searchable = 1 ORDER BY lx.score DESC, c.chunk_id LIMIT 10")
+_VEC = """vecs AS (SELECT embedding_id AS vector_id, any_value(embedding) AS embedding FROM chunk_embeddings WHERE is_active = 1 AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+lens AS (SELECT vector_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS len FROM vecs)"""
+_COS = "round(list_sum(list_transform(range(1, 65), lambda i: h.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) / (h.len * q.len), 9)"
+_SCOPE = "sc AS (SELECT chunk_id, corp_code, year, vector_id FROM chunks WHERE is_active = 1 AND is_searchable = 1 AND corp_code IS NOT NULL AND year = 2024), cov AS (SELECT corp_code, count(*) AS searchable, count(l.vector_id) AS covered FROM sc LEFT JOIN lens l USING (vector_id) GROUP BY 1)"
+
+
+def searchable(t: Tables) -> DataFrame:
+    return b.chunks(t, "corp_code", "year", "vector_id", "is_active", "is_searchable").filter("is_active = 1 AND is_searchable = 1 AND corp_code IS NOT NULL AND year = 2024")
+
+
+def chunk_vectors(t: Tables) -> DataFrame:
+    return rt.usable_vectors(t.chunk_embeddings.filter("is_active = 1").withColumnRenamed("embedding_id", "vector_id"), "vector_id", "embedding", 64)
+
+
+@R.add("V6_scoped_search", f"WITH {b.SQL_CHUNKS}, {_VEC}, {_SCOPE}, f AS (SELECT q.vector_id AS query_id, sc.chunk_id, corp_code, {_COS} AS score FROM sc JOIN lens h USING (vector_id), lens q WHERE q.vector_id % 20 = 0 AND corp_code = '00000990'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score, searchable, covered FROM r JOIN cov USING (corp_code) WHERE rank <= 10")
 def v6(t: Tables) -> DataFrame:
-    scope = b.chunks(t, "text", "corp_code", "is_active", "is_searchable").filter("corp_code = '00000990' AND is_active = 1 AND is_searchable = 1")
-    return rt.lexical_top_k(scope, "text", TERMS, "chunk_id", 10).select("chunk_id", F.round("score", 6).alias("score"))
+    """For every query vector the ten nearest chunks of one company's year."""
+    vectors = chunk_vectors(t)
+    queries = vectors.filter("vector_id % 20 = 0").select(F.col("vector_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits_ = rt.scoped_search(searchable(t).filter("corp_code = '00000990'"), vectors, queries, 10, ["corp_code"])
+    return hits_.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "searchable", "covered")
 
 
 def topic_scores(t: Tables) -> DataFrame:
@@ -315,8 +333,18 @@ def v9(t: Tables) -> DataFrame:
     return m.select("chunk_id", "place", rt.adjacent_context(F.col("text"), F.col("at"), F.col("at") + 2).alias("x")).select("chunk_id", "place", "x.before", "x.after")
 
 
-@R.add("V10_hybrid_retrieve", None)
+@R.add("V10_hybrid_retrieve", f"""WITH {b.SQL_CHUNKS}, {_VEC}, {_SCOPE}, {b.SQL_SLOTS}, {_TOPICS.split(", te AS")[0]}, q AS (SELECT * FROM lens WHERE vector_id % 20 = 0 ORDER BY vector_id LIMIT 1),
+v AS (SELECT corp_code, chunk_id, row_number() OVER (PARTITION BY corp_code ORDER BY {_COS} DESC, chunk_id) AS rank FROM sc JOIN lens h USING (vector_id), q),
+l AS (SELECT corp_code, chunk_id, row_number() OVER (PARTITION BY corp_code ORDER BY max(score) DESC, chunk_id) AS rank FROM tp WHERE score > 0 AND year = 2024 GROUP BY 1, 2)
+SELECT corp_code, 'fact' AS kind, metric || '/' || basis || '/' || value_type AS ref, 1 AS rank FROM slots WHERE report_type = 'FY' AND year = 2024 AND value IS NOT NULL
+UNION ALL SELECT corp_code, 'vector', chunk_id, rank FROM v WHERE rank <= 3 UNION ALL SELECT corp_code, 'lexical', chunk_id, rank FROM l WHERE rank <= 3""")
 def v10(t: Tables) -> DataFrame:
-    facts = b.slots(t).filter("report_type = 'FY' AND year = 2024").groupBy("corp_code").agg(F.sort_array(F.collect_list(F.struct("metric", "basis", "value"))).alias("financials"))
-    best = rk.top_per_group(topic_scores(t).filter("year = 2024"), ["corp_code"], [F.desc("score"), F.col("chunk_id"), F.col("topic")], 3).groupBy("corp_code").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
-    return facts.join(best, "corp_code", "full")
+    """Per company of a year its facts, the chunks nearest to a query vector and those with most topic words, told apart by kind."""
+    vectors = chunk_vectors(t)
+    query = vectors.filter("vector_id % 20 = 0").orderBy("vector_id").limit(1).select(F.col("vector_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = rt.scoped_search(searchable(t), vectors, query, 3, ["corp_code"])
+    words = rk.top_per_group(topic_scores(t).filter("year = 2024").groupBy("corp_code", "chunk_id").agg(F.max("score").alias("score")), ["corp_code"], [F.desc("score"), F.col("chunk_id")], 3)
+    facts = b.slots(t).filter("report_type = 'FY' AND year = 2024 AND value IS NOT NULL")
+    kind = lambda df, name, ref, rank: df.select("corp_code", F.lit(name).alias("kind"), ref.alias("ref"), rank.cast("bigint").alias("rank"))
+    out = kind(facts, "fact", F.concat_ws("/", "metric", "basis", "value_type"), F.lit(1))
+    return out.unionByName(kind(near, "vector", F.col("chunk_id"), F.col("rank"))).unionByName(kind(words, "lexical", F.col("chunk_id"), F.col("rank")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAILY = "IDX_NM string, BAS_DD string, CLSPRC_IDX string, MKTCAP string"
-FILING_LIST = "status string, page_no int, total_page int, list array<struct<corp_code: string, rcept_no: string, report_nm: string, rcept_dt: string>>"
+FILING_LIST = "status string, page_no bigint, total_page bigint, list array<struct<corp_code: string, rcept_no: string, report_nm: string, rcept_dt: string>>"
 
 
 def _amount(column: str):
