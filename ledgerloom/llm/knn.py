@@ -232,9 +232,9 @@ def rows_counted() -> Column:
 
 
 def kth_best(c: np.ndarray, k: int, axis: int) -> np.ndarray:
-    """The k-th largest value along an axis, the smallest where there are fewer."""
+    """The k-th largest value along an axis, the smallest where there are fewer, less what equal products may differ by."""
     at = max(c.shape[axis] - k, 0)
-    return np.take(np.partition(c, at, axis=axis), at, axis=axis)
+    return np.take(np.partition(c, at, axis=axis), at, axis=axis) - 1e-12
 
 
 def blocked_pairs(filed: DataFrame, asked: DataFrame, hot: DataFrame, classes: DataFrame, h: Hashing, k: int, floor: float) -> DataFrame:
@@ -355,7 +355,8 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, id_column: str, vector_
     left = rows.join(asking, "id", "left_semi").select("id", "vec", place(1, down).alias("i"), every(across).alias("j"))
     right = rows.select(F.col("id").alias("other"), F.col("vec").alias("other_vec"), place(2, across).alias("j"), every(down).alias("i"))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_search(k, dim), "a bigint, b bigint, cosine double")
-    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    # equal vectors may differ in the last digit of their products
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 12)), "b")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("a").alias("id"), "rank", F.col("b").alias("neighbour"), "cosine")
 
 

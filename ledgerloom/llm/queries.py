@@ -59,4 +59,13 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top5, p7_found, p7_counts, p8_ids, p9_found, p9_leaks, p10_found, p10_restored)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_top5": """
+WITH v AS (SELECT embedding_id AS id, any_value(embedding) AS e FROM chunk_embeddings WHERE is_active = 1 AND embedding_id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+u AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM v),
+c AS (SELECT q.id, o.id AS other, list_sum(list_transform(range(1, 65), lambda i: q.e[i]::DOUBLE * o.e[i]::DOUBLE)) / (q.n * o.n) AS cosine FROM u q JOIN u o ON q.id % 20 = 0 AND o.id <> q.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other) AS rank FROM c)
+SELECT id AS embedding_id, rank::INT AS rank, other AS neighbour_id, round(cosine, 9) AS cosine, chunk_id
+FROM r LEFT JOIN (SELECT DISTINCT vector_id, chunk_id FROM chunk_metadata WHERE vector_id IS NOT NULL) m ON m.vector_id = r.other WHERE rank <= 5"""
+}
