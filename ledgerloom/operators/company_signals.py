@@ -149,9 +149,13 @@ def contained_spans(counts: DataFrame, t: Thresholds = Thresholds()) -> DataFram
     return counts.join(parts, ["corp_code", "keyword"]).filter(F.col("m") >= t.contained * F.col("n")).select("corp_code", "keyword", "extension")
 
 
-def without_sector_context(obs: DataFrame, context: str, protected: list[str]) -> DataFrame:
-    """Candidates never seen in a chunk with sector context and not protected; needs the chunk's text as ``context_text``."""
-    g = obs.groupBy("corp_code", "keyword").agg(F.max(F.coalesce(F.col("context_text").rlike(context), F.lit(False))).alias("seen"))
+def without_sector_context(obs: DataFrame, texts: DataFrame, context: str, protected: list[str]) -> DataFrame:
+    """Candidates never seen in a chunk with sector context and not protected.
+
+    ``texts`` (chunk_id, text) are matched once a chunk; only a flag meets the observations.
+    """
+    flags = texts.select("chunk_id", F.coalesce(F.col("text").rlike(context), F.lit(False)).alias("_seen"))
+    g = obs.join(flags, "chunk_id").groupBy("corp_code", "keyword").agg(F.bool_or("_seen").alias("seen"))
     return g.filter(~F.col("seen") & ~F.col("keyword").isin(*protected)).select("corp_code", "keyword")
 
 

@@ -80,8 +80,7 @@ def k19(t: Tables) -> DataFrame:
 
 @R.add("K20_sector_unrelated", None)
 def k20(t: Tables) -> DataFrame:
-    texts = corpus(t).select("chunk_id", F.col("text").alias("context_text"))
-    return cs.without_sector_context(observed(t).select("chunk_id", "corp_code", "keyword").join(texts, "chunk_id"), "설비|소재|공정|반도체|전지", ["특허"])
+    return cs.without_sector_context(observed(t).select("chunk_id", "corp_code", "keyword"), corpus(t).select("chunk_id", "text"), "설비|소재|공정|반도체|전지", ["특허"])
 
 
 @R.add("K22_provenance_category", None)

@@ -17,7 +17,7 @@ from ledgerloom.operators import releases as rl
 from ledgerloom.plans import base as b
 from ledgerloom.plans.registry import Registry, Tables
 from ledgerloom.plans.signals import SQL_SECTOR
-from ledgerloom.plans.windows import daily
+from ledgerloom.plans.windows import _POINTS, daily, point_rows
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -382,12 +382,11 @@ def x10(t: Tables) -> DataFrame:
     return b.quarters(t).filter("basis = 'CFS' AND metric = 'REVENUE'").select("corp_code", "year", "quarter", "value")
 
 
-@R.add("X11_widened_rows", None)
+@R.add("X11_widened_rows", f"WITH {_POINTS}, pw AS (SELECT * FROM pt WHERE year BETWEEN 2021 AND 2024), j AS (SELECT a.*, p.equity AS pe FROM pw a LEFT JOIN pw p ON a.corp_code = p.corp_code AND a.basis = p.basis AND p.year * 4 + p.quarter = a.year * 4 + a.quarter - 1) SELECT corp_code, basis, year, quarter, CASE WHEN equity + pe > 0 THEN round(net_income * 4 / ((equity + pe) / 2) * 100, 6) END AS roe FROM j WHERE year BETWEEN 2022 AND 2024")
 def x11(t: Tables) -> DataFrame:
-    from ledgerloom.plans.windows import point_rows
-
+    """A year more is read than asked for, as the first quarter needs the one before."""
     wide = point_rows(t).filter("year BETWEEN 2021 AND 2024")
-    return qx.bank_metrics(wide).filter("year BETWEEN 2022 AND 2024").select("corp_code", "basis", "year", "quarter", "roe")
+    return qx.bank_metrics(wide).filter("year BETWEEN 2022 AND 2024").select("corp_code", "basis", "year", "quarter", F.round("roe", 6).alias("roe"))
 
 
 @R.add("X12_public_projection", f"WITH {b.SQL_QUARTERS} SELECT corp_code, basis, metric, year, quarter, value FROM quarters")

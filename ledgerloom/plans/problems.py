@@ -124,7 +124,28 @@ WHERE corp_code IS NOT NULL AND year IS NOT NULL AND report_type IS NOT NULL AND
   AND (value IS NOT NULL OR regexp_matches(value_text, '[\\p{L}\\p{N}]'))
 """
 
+# The definition table's metrics; all others are whole numbers.
+_METRICS = ("REVENUE", "OPERATING_INCOME", "NET_INCOME", "CAPEX", "RND_EXPENSE", "EQUITY", "TOTAL_ASSETS", "OPERATING_CASH_FLOW", "NET_INTEREST_INCOME", "LOANS", "EMPLOYEES", "PRODUCTION_VOLUME", "POWER_CAPACITY", "FLOOR_AREA", "DEBT_RATIO", "AUDIT_OPINION", "CLOSING_DATE", "IS_GOING_CONCERN")
+_NUMBER = "coalesce(value, try_cast(regexp_replace(text, '[, ]', '', 'g') AS BIGINT))"
+_TYPED = {
+    "AUDIT_OPINION": "coalesce(nullif(trim(text), ''), value::VARCHAR)",
+    "CLOSING_DATE": """CASE WHEN regexp_full_match(text, '\\s*[0-9]{8}\\s*') THEN try_strptime(trim(text), '%Y%m%d')::DATE WHEN len(regexp_extract_all(text, '[0-9]+')) = 3
+      THEN try_cast(lpad(regexp_extract_all(text, '[0-9]+')[1], 4, '0') || '-' || lpad(regexp_extract_all(text, '[0-9]+')[2], 2, '0') || '-' || lpad(regexp_extract_all(text, '[0-9]+')[3], 2, '0') AS DATE) END""",
+    "IS_GOING_CONCERN": "CASE WHEN upper(trim(coalesce(text, value::VARCHAR))) IN ('1', 'Y', 'YES', 'TRUE', 'T', '예', '네') THEN true WHEN upper(trim(coalesce(text, value::VARCHAR))) IN ('0', 'N', 'NO', 'FALSE', 'F', '아니오', '아니요') THEN false END",
+}
+_WIDE = (
+    _FILLED.split("SELECT DISTINCT corp_code, year, report_type, fs_div, d.metric_code")[0].replace("letters, value, value_text", """letters, value, value_text,
+    (CASE WHEN lower(trim(review_status)) = 'approved' THEN 4 ELSE 0 END) + (CASE source_kind WHEN 'DIRECT' THEN 3 WHEN 'DOCUMENT_EXTRACTED' THEN 2 ELSE 1 END) AS place, loaded_at, metric_value_id""")
+    + """, f AS (SELECT corp_code, year, report_type, fs_div, letters, value, CASE WHEN regexp_matches(value_text, '[\\p{L}\\p{N}]') THEN value_text END AS text, place, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS seen, metric_value_id AS id
+  FROM v WHERE corp_code IS NOT NULL AND year IS NOT NULL AND report_type IS NOT NULL AND fs_div IS NOT NULL),
+b AS (SELECT DISTINCT ON (corp_code, year, report_type, fs_div, letters) * FROM f ORDER BY corp_code, year, report_type, fs_div, letters, (value IS NOT NULL OR text IS NOT NULL) DESC, place DESC, seen DESC, id DESC, value DESC NULLS LAST)
+SELECT corp_code, year, report_type, fs_div, """
+    + ", ".join(f"max(CASE WHEN letters = '{m.replace('_', '')}' THEN {_TYPED.get(m, _NUMBER)} END) AS \"{m}\"" for m in _METRICS)
+    + " FROM b JOIN metric_definitions d ON b.letters = upper(replace(d.metric_code, '_', '')) GROUP BY 1, 2, 3, 4"
+)
+
 SQL = {
+    "p6_wide": _WIDE,
     "p2_found": _ONCE + "SELECT table_name, column_name, record_id FROM orphans",
     "p2_per_period": _ONCE + "SELECT table_name, column_name, strftime(since, '%Y-%m') AS period, count(*) AS orphans, count(*) FILTER (reason = 'late') AS late FROM orphans GROUP BY ALL",
     "p3_found": _CHANGES,
