@@ -24,7 +24,7 @@ Scale: items are prepared in tasks (counts by key, nothing per character on the
 driver); what goes through the driver is a bitmap of the registered windows of at
 most ``2 ** MAX_BITS`` bits, however many items there are.  Documents are scanned
 once, whole, in one narrow pass; only windows that the bitmap knows leave it,
-with the 72 characters around them, and meet the items in a keyed join.  As the
+with the 192 characters around them, and meet the items in a keyed join.  As the
 rarest windows are registered, a window is shared by many items only if a whole
 run of 50 characters is, and then all of them are results.  Items of one template
 are one class: a re-parameterised document gives one row a template, not a row an
