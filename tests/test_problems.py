@@ -220,6 +220,21 @@ def test_units_band_join_agrees_with_all_pairs(spark):
     assert rows(units.same_quantity(units.normalize_units(v, d))) == expected and expected
 
 
+def test_units_of_any_number_of_metrics(spark):
+    """A metric behind 5,000 others is treated as it is among five, for the first and the last company alike."""
+    corps = [("0", "CFS"), ("99999999", "OFS")]
+    data = [x for i, (corp, basis) in enumerate(corps) for x in (value(10 * i + 1, v=1234567, unit="천원", corp=corp, basis=basis), value(10 * i + 2, v=1235, unit="백만원", corp=corp, basis=basis), value(10 * i + 3, v=1236, corp=corp, basis=basis, year=2025))]
+    # a metric in the first position, REVENUE being in the last
+    data += [value(31, "A0", v=5, unit="kg"), value(32, "A 0", v=5000, unit="kg"), value(33, "A0", v=5, unit="t")]
+    v = spark.createDataFrame(data, VALUES)
+    schema = "metric_code string, data_type string, common_unit string"
+    few = spark.createDataFrame([*DEFINITIONS, ("A0", "long", "kg")], schema)
+    many = spark.createDataFrame([*DEFINITIONS, *((f"A{i}", "long", "kg") for i in range(5000))], schema)
+    few_rows, many_rows = (rows(units.one_per_record(units.normalize_units(v, d), d)) for d in (few, many))
+    assert few_rows == many_rows and {r[1:6] for r in many_rows[:6]} == {(c.zfill(8), y, "FY", "REVENUE", b) for c, b in corps for y in (2024, 2025)}
+    assert rows(units.same_quantity(units.normalize_units(v, many))) == [(1, 2), (11, 12), (32, 33)]
+
+
 def test_units_viterbi_decodes_switches(spark):
     data = [value(i, v=(500 + i) * (10**6 if i % 3 else 1), unit="원" if i == 1 else None, year=2010 + i) for i in range(12)]
     v, d = frames(spark, data)
